@@ -58,3 +58,21 @@ def first_rows_by_hash(df: DataFrame, key: str, salt: str, n: int) -> DataFrame:
     rows a partition and n on the last task.
     """
     return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(salt)), F.col(key)).limit(n)
+
+
+#: One finding in a text; sorted, findings go by start, then by their kind's place in the list of kinds.
+FINDING = "struct<start:int,rank:int,end:int,kind:string,base:boolean,score:double>"
+
+
+def span_columns(findings: Column, kinds: list[str]) -> list[Column]:
+    """``n_<kind>`` and ``base_sha256`` of the base findings, ``spans`` of all.
+
+    ``findings`` is a sorted array of ``FINDING``. Spans are written
+    kind:start:end and joined by commas, in code points, end exclusive.
+    """
+    text = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
+    base = F.filter(findings, lambda x: x["base"])
+    of = lambda k: F.size(F.filter(base, lambda x: x["kind"] == F.lit(k)))
+    counts = [of(k).cast("long").alias(f"n_{k}") for k in kinds]
+    sha = F.sha2(F.array_join(F.transform(base, text), ",").cast("binary"), 256)
+    return [*counts, sha.alias("base_sha256"), F.array_join(F.transform(findings, text), ",").alias("spans")]

@@ -15,8 +15,51 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_digests
+
+    return secret_digests(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import held_out_scores
+
+    return held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audio import audio_digests
+
+    return audio_digests(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out_identify
+
+    return held_out_identify(table(spark, sf_dir, "documents"))
+
+
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    own = (op1_simhash, op2_secrets, op3_toxicity, op4_audio, op6_mixing, op7_langid, op9_decontam, op10_tokens)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
