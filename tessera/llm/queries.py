@@ -33,6 +33,12 @@ def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import repeat_digests
+
+    return repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -45,6 +51,12 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_identify(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_digests
+
+    return personal_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contaminated
 
@@ -58,7 +70,7 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_secrets, op3_toxicity, op4_audio, op6_mixing, op7_langid, op9_decontam, op10_tokens)
+    own = (op1_simhash, op2_secrets, op3_toxicity, op4_audio, op5_suffixes, op6_mixing, op7_langid, op8_pii, op9_decontam, op10_tokens)
     return {f.__name__: f for f in own}
 
 
