@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Positives are confirmed toxic texts; all other texts, labelled or not, are
-unlabelled. A logistic model over the presence of chosen words minimises
+unlabelled. A logistic model over the presence of chosen words and word beginnings minimises
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
@@ -31,6 +31,8 @@ UNLABELLED = 9000
 FEATURES = 256
 BUCKETS = 1 << 20
 THRESHOLD = 0.7
+#: Bytes of the beginnings that count beside whole words.
+STEMS = (6, 8)
 #: ASCII letters become lower case, other ASCII becomes a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -43,38 +45,41 @@ class Model:
 
 
 def words_of(text: str | None) -> set[bytes]:
-    return set((text or "").encode("utf-8", "surrogatepass").translate(FOLD).split())
+    return set((text or "").lower().encode("utf-8", "surrogatepass").translate(FOLD).split())
 
 
-def bucket(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word) % BUCKETS
+def buckets_of_word(word: bytes) -> tuple[int, ...]:
+    """The hash buckets of a word and of its longer beginnings."""
+    parts = [word, *(b"^" + word[:k] for k in STEMS if len(word) > k)]
+    return tuple(xxhash.xxh32_intdigest(p) % BUCKETS for p in parts)
 
 
 def buckets_of(text: str | None) -> np.ndarray:
     """Distinct buckets of a whole text."""
-    return np.unique(np.fromiter(map(bucket, words_of(text)), dtype=np.int64))
+    return np.unique(np.fromiter((b for w in words_of(text) for b in buckets_of_word(w)), dtype=np.int64))
 
 
 def _logistic(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, steps: int = 1200, rate: float = 0.05, decay: float = 3e-5) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk, by Adam on whole batches.
 
     Where the negative part of the risk falls below zero, the step goes up its
-    gradient instead of down the total, as non-negative learning has it.
+    gradient instead of down the total, as non-negative learning has it. Equal
+    rows are folded into one with a weight.
     """
     d = x_pos.shape[1]
     w, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
     w[d] = np.log(prior / (1 - prior))
-    xp, xu = (np.c_[x, np.ones(len(x))] for x in (x_pos, x_unl))
+    (xp, cp), (xu, cu) = (np.unique(x, axis=0, return_counts=True) for x in (x_pos, x_unl))
+    xp, xu, cp, cu = np.c_[xp, np.ones(len(xp))], np.c_[xu, np.ones(len(xu))], cp / cp.sum(), cu / cu.sum()
     for t in range(1, steps + 1):
         sp, su = _logistic(xp @ w), _logistic(xu @ w)
-        negative = -np.log(1 - su + 1e-12).mean() + prior * np.log(1 - sp + 1e-12).mean()
-        grad_neg = (su[:, None] * xu).mean(axis=0) - prior * (sp[:, None] * xp).mean(axis=0)
-        grad_pos = prior * ((sp - 1)[:, None] * xp).mean(axis=0)
-        g = grad_pos + grad_neg if negative >= 0 else -grad_neg
+        negative = -(cu @ np.log(1 - su + 1e-12)) + prior * (cp @ np.log(1 - sp + 1e-12))
+        grad_neg = (cu * su) @ xu - prior * ((cp * sp) @ xp)
+        g = prior * ((cp * (sp - 1)) @ xp) + grad_neg if negative >= 0 else -grad_neg
         g[:d] += decay * w[:d]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -143,21 +148,20 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         weight = dict(zip(m.words.tolist(), m.weights.tolist()))
-        known: dict[bytes, float] = {}
+        known: dict[bytes, tuple[int, ...]] = {}
         for batch in batches:
             out = []
             for t in batch.column(len(keep)):
-                z, seen = m.bias, set()
+                seen: set[int] = set()
                 for word in words_of(t.as_py()):
-                    w = known.get(word)
-                    if w is None:
+                    own = known.get(word)
+                    if own is None:
                         if len(known) > 1 << 18:
                             known.clear()
-                        w = known[word] = weight.get(bucket(word), 0.0)
-                    if w:
-                        seen.add(bucket(word))
-                z += sum(weight[b] for b in sorted(seen))
-                out.append(float(_logistic(np.float64(z))))
+                        own = known[word] = tuple(b for b in buckets_of_word(word) if b in weight)
+                    if own:
+                        seen.update(own)
+                out.append(float(_logistic(np.float64(m.bias + sum(weight[b] for b in sorted(seen))))))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.float64())], [*keep, "score"])
 
     own = docs.select(*keep, F.col("text").alias("__text"))
