@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RATE = 0.06
+RATE = 0.1
 #: Items with fewer bytes after folding are too short to name a source.
 MIN_BYTES = 40
 MAX_ITEM_BYTES = 32 << 20
