@@ -33,6 +33,8 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 CONTRACTIONS = frozenset(["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"])
 #: Pieces and pairs of tokens that a worker remembers.
 MEMO = 1 << 18
+#: Bytes up to which a piece's prefixes are remembered for other pieces.
+SHARED = 16
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -56,62 +58,107 @@ class PrefixCounter:
             spec = json.load(f)
         names = _byte_names()
         raw = lambda s: bytes(names[c] for c in s)
-        self.ranks = {(raw(a), raw(b)): i for i, (a, b) in enumerate(spec["model"]["merges"])}
-        self.tokens = {bytes([b]) for b in range(256)} | {a + b for a, b in self.ranks}
-        self.longest = max(map(len, self.tokens))
+        # Tokens are numbered in the order in which merges make them, bytes first.
+        self.number = {bytes([b]): b for b in range(256)}
+        self.halves: list[tuple[int, int]] = [(b, b) for b in range(256)]
+        self.joined: dict[tuple[int, int], int] = {}
+        for a, b in spec["model"]["merges"]:
+            a, b = raw(a), raw(b)
+            pair = self.number[a], self.number[b]
+            if a + b in self.number:  # made by an earlier merge already
+                self.joined.setdefault(pair, len(self.halves))
+                self.halves.append(pair)
+                continue
+            self.number[a + b] = self.joined[pair] = len(self.halves)
+            self.halves.append(pair)
+        # What tokens end with: a token's number, or -1 for what is no token itself.
+        self.tails = {t[i:]: -1 for t in self.number for i in range(1, len(t))} | self.number
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.memo: dict[str, bytes | np.ndarray] = {}
-        self.follows: dict[tuple[bytes, bytes], bool] = {}
-        self.stands: dict[bytes, bool] = {}
-
-    def merge(self, raw: bytes) -> list[bytes]:
-        """The tokens of a short string, by merging from the lowest rank."""
-        parts = [raw[i : i + 1] for i in range(len(raw))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get((a, b), 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 30:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
-    def _follows(self, a: bytes, b: bytes) -> bool:
+        self.known: dict[bytes, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+        self.follows: dict[tuple[int, int], bool] = {}
+
+    def _follows(self, a: int, b: int) -> bool:
+        """Whether merging leaves token a and then token b as they are.
+
+        The later merge of the two is undone step by step, on the sides that
+        touch; if a merge across the border exists that comes before the one
+        undone, it would have been made first.
+        """
         ok = self.follows.get((a, b))
         if ok is None:
             if len(self.follows) >= MEMO:
                 self.follows.clear()
-            ok = self.follows[a, b] = self.merge(a + b) == [a, b]
-        return ok
-
-    def _stands(self, a: bytes) -> bool:
-        ok = self.stands.get(a)
-        if ok is None:
-            ok = self.stands[a] = self.merge(a) == [a]
+            ok = self.follows[a, b] = self._apart(a, b)
         return ok
 
-    def _dynamic(self, raw: bytes) -> list[int]:
-        """Token counts of the byte prefixes of one piece, the empty one first."""
-        counts, last = [0], [b""]
-        tokens, longest = self.tokens, self.longest
-        for p in range(1, len(raw) + 1):
-            for start in range(max(0, p - longest), p):
-                t = raw[start:p]
-                if t in tokens and (self._follows(last[start], t) if start else self._stands(t)):
+    def _apart(self, a: int, b: int) -> bool:
+        halves, joined = self.halves, self.joined
+        # A merge across the border counts from "since" on only if its rank is lower.
+        left, right, since = a, b, len(halves)
+        while True:
+            across = joined.get((left, right))
+            if across is not None and across < since:
+                return False
+            splits_left, splits_right = left >= 256, right >= 256
+            if not splits_left and not splits_right:
+                return True
+            # Merges run in order of rank and, at one rank, from the left: undo the last one made.
+            if splits_left and (not splits_right or left > right):
+                since, left = left, halves[left][1]
+            else:
+                since, right = right + 1, halves[right][0]
+
+    def _extend(self, raw: bytes) -> list[int]:
+        """Token counts of the byte prefixes of one piece, from one byte on.
+
+        The longest prefix that another piece had is known, with the counts and
+        last tokens of all its own prefixes (if a prefix is known, so are the
+        shorter ones). Each further byte takes the only last token that may
+        stand there.
+        """
+        known, tails = self.known, self.tails
+        if len(known) >= MEMO:
+            known.clear()
+        low, high = 0, min(len(raw), SHARED)
+        while low < high:
+            mid = (low + high + 1) // 2
+            if raw[:mid] in known:
+                low = mid
+            else:
+                high = mid - 1
+        counts, last = map(list, known[raw[:low]]) if low else ([0], [-1])
+        for p in range(low + 1, len(raw) + 1):
+            ends, start = [], p - 1
+            while start >= 0:  # backwards, as long as some token ends like this
+                t = tails.get(raw[start:p])
+                if t is None:
+                    break
+                if t >= 0:
+                    ends.append((start, t))
+                start -= 1
+            for start, t in reversed(ends):
+                if not start or self._follows(last[start], t):
                     counts.append(counts[start] + 1)
                     last.append(t)
                     break
-        return counts
+            if p <= SHARED:
+                known[raw[:p]] = tuple(counts), tuple(last)
+        return counts[1:]
 
-    def piece(self, s: str) -> np.ndarray:
-        """Counts of the prefixes of one piece, from one character to all."""
+    def piece(self, s: str) -> bytes | np.ndarray:
+        """Counts of the prefixes of one piece, from one character to all; as bytes where they fit."""
         got = self.memo.get(s)
         if got is None:
             raw = s.encode("utf-8", "surrogatepass")
-            at = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in s])
-            got = np.array(self._dynamic(raw), dtype=np.int32)[at]
+            counts = self._extend(raw)
+            if len(raw) > len(s):  # only prefixes that end with a character
+                counts = [n for n, follow in zip(counts, raw[1:] + b"a") if follow & 0xC0 != 0x80]
             if s in CONTRACTIONS:  # cut short, they are an apostrophe and letters
                 for j in range(1, len(s)):
-                    got[j - 1] = sum(int(self.piece(x)[-1]) for x in PATTERN.findall(s[:j]))
+                    counts[j - 1] = sum(int(self.piece(x)[-1]) for x in PATTERN.findall(s[:j]))
+            got = bytes(counts) if counts[-1] < 256 else np.array(counts, dtype=np.int64)
             if len(s) <= 64:
                 if len(self.memo) >= MEMO:
                     self.memo.clear()
@@ -123,10 +170,14 @@ class PrefixCounter:
         pieces = PATTERN.findall(text)
         if not pieces:
             return np.zeros(0, np.int64)
-        memo = self.memo
-        own = [memo[s] if s in memo else self.piece(s) for s in pieces]
+        own = list(map(self.memo.get, pieces))
+        if None in own:
+            own = [self.piece(s) if x is None else x for s, x in zip(pieces, own)]
+        if set(map(type, own)) == {bytes}:
+            out = np.frombuffer(b"".join(own), np.uint8).astype(np.int64)
+        else:
+            out = np.concatenate([np.frombuffer(x, np.uint8) if type(x) is bytes else x for x in own]).astype(np.int64)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        out = np.concatenate(own).astype(np.int64)
         ends = np.cumsum(sizes)
         base = np.cumsum(out[ends - 1]) - out[ends - 1]
         out += np.repeat(base, sizes)
@@ -134,7 +185,7 @@ class PrefixCounter:
         for i in np.flatnonzero(blank[:-1]) + 1:
             first = ends[i] - sizes[i]
             if pieces[i][0].isspace() and (sizes[i] > 1 or i + 1 < len(pieces)):
-                out[first] = base[i - 1] + self.piece(pieces[i - 1] + pieces[i][0])[-1]
+                out[first] = base[i - 1] + int(self.piece(pieces[i - 1] + pieces[i][0])[-1])
         return out
 
     def counts(self, text: str | None) -> np.ndarray:
