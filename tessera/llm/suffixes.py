@@ -14,8 +14,10 @@ be equal, and each meeting is settled by itself:
    up to WIDTH bytes), and the longest-previous-factor array, from the previous
    and next smaller positions in suffix order, tells which windows have an
    earlier equal.
-4. Groups of over ``DENSE`` kinds aren't gathered. Their windows are counted by
-   hash, which no single task has to hold.
+4. Groups of over ``DENSE`` kinds aren't gathered. Their stretches are cut into
+   pieces of ``PIECE`` windows, counted by hash from the anchor's place on, so
+   steps 2 and 3 repeat on a smaller scale; what still differs is counted
+   window by window. No task has to hold such a group.
 
 Equal texts are one key with a count, so a text that makes up a third of the
 rows costs its own size once after the first pass.
@@ -36,6 +38,8 @@ from .windows import WIDTH, stretches
 
 #: Kinds of stretches up to which an anchor's group is sorted in one task.
 DENSE = 64
+#: Windows of a piece, into which the stretches of larger groups are cut.
+PIECE = 16
 #: Bytes of groups that are sorted together.
 BATCH = 1 << 20
 
@@ -143,8 +147,28 @@ def _settled(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*cols, pa.array(at, pa.int64()), pa.array((ends - starts + 1).astype(np.int32))], ["k1", "k2", "s", "n"])
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stretches of dense groups in pieces, cut at fixed distances from the anchor."""
+    names = ("ah", "off", "k1", "k2", "s", "n", "w", "bytes")
+    for batch in batches:
+        out: list[tuple] = []
+        for ah, off, k1, k2, s, n, w, raw in zip(*[batch.column(c).to_pylist() for c in names]):
+            i = 0
+            while i < n:
+                u = (off - i) // PIECE
+                m = min(n - i, off - i - u * PIECE + 1)
+                part = raw[i : i + m + WIDTH - 1]
+                out.append((ah, u, hashlib.blake2b(part + (off - i).to_bytes(2, "big"), digest_size=16).digest(), k1, k2, s + i, m, min(w, 2), part))
+                i += m
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        fields = ["ah", "u", "h", "k1", "k2", "s", "n", "w", "bytes"]
+        for lo in range(0, len(out), 5000):
+            cols = zip(*out[lo : lo + 5000])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], fields)
+
+
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of dense groups."""
+    """A row for each window of the pieces that still differ."""
     for batch in batches:
         for row in zip(*[batch.column(c).to_pylist() for c in ("k1", "k2", "s", "n", "w", "bytes")]):
             k1, k2, s, n, w, raw = row
@@ -155,15 +179,29 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _counted(many: DataFrame) -> DataFrame:
+    """Repeated windows of dense groups, ``(k1, k2, s, n)``, by counting pieces and then windows."""
+    pieces = stored(many.mapInArrow(_pieces, "ah long, u int, h binary, k1 long, k2 long, s long, n int, w long, bytes binary"), "lpf-pieces")
+    kinds = stored(pieces.groupBy("ah", "u", "h").agg(F.sum("w").alias("w"), F.min(F.struct("k1", "k2", "s", "n", "bytes")).alias("first")), "lpf-piece-kinds")
+    again = kinds.where("w > 1").select(F.col("ah").alias("a"), F.col("u").alias("v"), F.col("h").alias("g"))
+    whole = pieces.where("w = 1").join(again, (F.col("ah") == F.col("a")) & (F.col("u") == F.col("v")) & (F.col("h") == F.col("g"))).select("k1", "k2", "s", "n")
+    mixed = stored(kinds.groupBy("ah", "u").agg(F.count("*").alias("kinds"), F.min("w").alias("least")).where("kinds > 1 and least = 1").select(F.col("ah").alias("a"), F.col("u").alias("v")), "lpf-piece-mixed")
+    differ = kinds.join(mixed, (F.col("ah") == F.col("a")) & (F.col("u") == F.col("v"))).select("first.*", "w")
+    hashed = stored(differ.mapInArrow(_hashed, "h binary, k1 long, k2 long, s long, single boolean"), "lpf-hashed")
+    twice = stored(hashed.groupBy("h").count().where("count > 1").select(F.col("h").alias("g")), "lpf-twice")
+    edges = hashed.where("single").join(twice, F.col("h") == F.col("g")).select("k1", "k2", "s", F.lit(1).alias("n"))
+    return whole.unionByName(edges)
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the stretches that a text's list names."""
     for batch in batches:
         for i in range(batch.num_rows):
             raw, rows = batch.column(0)[i].as_buffer() or b"", batch.column(3)[i].as_py()
             cols = [pa.repeat(batch.column(k)[i], len(rows)) for k in (1, 2)]
-            fields = [pa.array([r[f] for r in rows], t) for f, t in (("s", pa.int64()), ("n", pa.int32()), ("ah", pa.int64()), ("rh", pa.int64()), ("w", pa.int64()), ("kinds", pa.int64()))]
+            fields = [pa.array([r[f] for r in rows], t) for f, t in (("s", pa.int64()), ("n", pa.int32()), ("off", pa.int32()), ("ah", pa.int64()), ("rh", pa.int64()), ("w", pa.int64()), ("kinds", pa.int64()))]
             parts = pa.array([bytes(raw[r["s"] : r["s"] + r["n"] + WIDTH - 1]) for r in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([*cols, *fields, parts], ["k1", "k2", "s", "n", "ah", "rh", "w", "kinds", "bytes"])
+            yield pa.RecordBatch.from_arrays([*cols, *fields, parts], ["k1", "k2", "s", "n", "off", "ah", "rh", "w", "kinds", "bytes"])
 
 
 def _marks(keyed: DataFrame) -> DataFrame:
@@ -172,29 +210,27 @@ def _marks(keyed: DataFrame) -> DataFrame:
     everything = stored(keyed.select("k1", "k2", "t").mapInArrow(cut, "k1 long, k2 long, s long, n int, off int, ah long, rh long"), "lpf-stretches")
     shared = stored(everything.groupBy("ah").count().where("count > 1").select(F.col("ah").alias("shared")), "lpf-shared")
     near = everything.join(shared, everything["ah"] == shared["shared"]).drop("shared")
-    near = stored(near.groupBy("k1", "k2", "s").agg(F.first("n").alias("n"), F.first("ah").alias("ah"), F.first("rh").alias("rh"), F.count("*").alias("copies")), "lpf-near")
+    near = stored(near.groupBy("k1", "k2", "s").agg(F.first("n").alias("n"), F.first("ah").alias("ah"), F.first("rh").alias("rh"), F.first("off").alias("off"), F.count("*").alias("copies")), "lpf-near")
     kinds = stored(
-        near.groupBy("ah", "rh").agg(F.sum("copies").alias("w"), F.min(F.struct("k1", "k2", "s", "n")).alias("first")), "lpf-kinds"
+        near.groupBy("ah", "rh").agg(F.sum("copies").alias("w"), F.min(F.struct("k1", "k2", "s", "n", "off")).alias("first")), "lpf-kinds"
     )
     once = near.where("copies = 1")
     whole = once.join(kinds.where("w > 1").select(F.col("ah").alias("a"), F.col("rh").alias("r")), (F.col("ah") == F.col("a")) & (F.col("rh") == F.col("r"))).select("k1", "k2", "s", "n")
     mixed = stored(kinds.groupBy("ah").agg(F.count("*").alias("kinds"), F.min("w").alias("least")).where("kinds > 1 and least = 1").select(F.col("ah").alias("a"), "kinds"), "lpf-mixed")
     lists = stored(
         kinds.join(mixed, F.col("ah") == F.col("a")).select("first.*", "ah", "rh", "w", "kinds")
-        .groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "n", "ah", "rh", "w", "kinds")).alias("list")).select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), "list"),
+        .groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "n", "off", "ah", "rh", "w", "kinds")).alias("list")).select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), "list"),
         "lpf-lists",
     )
     own = keyed.join(lists, (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2"))).select("t", "k1", "k2", "list")
-    gathered = own.mapInArrow(_extract, "k1 long, k2 long, s long, n int, ah long, rh long, w long, kinds long, bytes binary")
+    gathered = own.mapInArrow(_extract, "k1 long, k2 long, s long, n int, off int, ah long, rh long, w long, kinds long, bytes binary")
     gathered = stored(gathered, "lpf-gathered")
     few = gathered.where(F.col("kinds") <= DENSE)
     one = few.where("w = 1").unionByName(few.where("w > 1").dropDuplicates(["ah", "rh"]))
     settled = one.select("ah", "k1", "k2", "s", "n", "w", "bytes").repartition("ah").sortWithinPartitions("ah").mapInArrow(_settle, "k1 long, k2 long, s long, n int")
     many = gathered.where(F.col("kinds") > DENSE)
     many = many.where("w = 1").unionByName(many.where("w > 1").dropDuplicates(["ah", "rh"]))
-    hashed = stored(many.select("k1", "k2", "s", "n", "w", "bytes").mapInArrow(_hashed, "h binary, k1 long, k2 long, s long, single boolean"), "lpf-hashed")
-    twice = stored(hashed.groupBy("h").count().where("count > 1").select(F.col("h").alias("g")), "lpf-twice")
-    counted = hashed.where("single").join(twice, F.col("h") == F.col("g")).select("k1", "k2", "s", F.lit(1).alias("n"))
+    counted = _counted(many)
     copied = near.where("copies > 1").select("k1", "k2", F.lit(0).cast("long").alias("s"), F.lit(-1).alias("n")).distinct()
     return whole.unionByName(settled).unionByName(counted).unionByName(copied)
 
