@@ -114,3 +114,29 @@ def stress_variants(query: Column) -> Column:
         F.when((F.size(words) >= 2) & ~F.lower(F.trim(query)).startswith("how to "), item("paraphrase", F.concat(F.lit("how to "), query))),
     )
     return F.filter(all_, lambda x: x.isNotNull())
+
+
+#: Event types that have a handler, fixed values; others go to dead letter.
+HANDLED = ("semantic_scan", "upsert", "embedding_upsert", "om_reflect_requested", "om_reflect_buffer_requested", "om_observe_buffer_requested")
+
+
+def replay(outbox: DataFrame, as_of: str, limit: int, failed: Column, include_dead: bool = False) -> DataFrame:
+    """One pass over due events: ``(id, outcome, attempt, next_attempt_at)``.
+
+    Stale events are recovered first. Handled ones are done; a failed one is
+    put back with its backoff while attempts are left, else it is dead, as is
+    one that nothing handles. ``failed`` says which handler calls fail.
+    """
+    ready = fetch(recover_stale(outbox, as_of, 300), "new", as_of, limit)
+    if include_dead:
+        ready = ready.unionByName(fetch(outbox, "dead_letter", as_of, limit)).orderBy("id").limit(limit)
+    attempt = F.col("attempt") + 1
+    again = failed & should_retry(F.col("event_type"), attempt)
+    outcome = F.when(~F.col("event_type").isin(*HANDLED), "dead_letter").when(again, "requeued").when(failed, "dead_letter").otherwise("done")
+    wait = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), backoff(F.col("event_type"), attempt).cast("decimal(18,6)"))
+    due = F.when(outcome == "requeued", _as_of(as_of) + wait).otherwise(F.col("next_attempt_at"))
+    return ready.select("id", outcome.alias("outcome"), attempt.alias("attempt"), due.alias("next_attempt_at"))
+
+
+def replay_report(replayed: DataFrame) -> DataFrame:
+    return replayed.groupBy("outcome").agg(F.count("*").alias("events"))

@@ -14,10 +14,10 @@ CLIP = 240
 
 
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, one row with counts of good and bad lines). Bad lines are kept apart, not raised."""
+    """(good rows, one row with counts of good and bad lines and the first bad one). Bad lines are kept apart, not raised."""
     full = f"{schema}, _bad string"
     raw = spark.read.schema(full).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
-    report = raw.agg(F.count_if(F.col("_bad").isNull()).alias("good"), F.count_if(F.col("_bad").isNotNull()).alias("bad"), F.first("_bad", ignorenulls=True).alias("first_bad"))
+    report = raw.agg(F.count_if(F.col("_bad").isNull()).alias("good"), F.count_if(F.col("_bad").isNotNull()).alias("bad"), F.first("_bad", ignorenulls=True).alias("first_bad"), F.count(raw.columns[0]).alias("with_first_field"))
     return raw.where("_bad is null").drop("_bad"), report
 
 
