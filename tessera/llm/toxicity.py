@@ -7,8 +7,8 @@ unlabelled. A logistic model over the presence of chosen words and word beginnin
 
 where the class prior corrects for the toxic texts among the unlabelled and the
 bound at zero keeps the model from fitting unlabelled texts as negatives. The
-words are the ``FEATURES`` hash buckets whose presence differs most between
-positives and unlabelled texts (a z-score on counts that Spark aggregates). The
+words are the ``FEATURES`` hash buckets that positives hold most in excess of
+unlabelled texts (a z-score on counts that Spark aggregates). The
 fit uses a bounded sample: ``POSITIVES`` and ``UNLABELLED`` rows, chosen by the
 hash of their id; the prior is the toxic share of all labelled rows.
 """
@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     a, b = F.col("p") / n["p"], F.col("u") / n["u"]
     both = (F.col("p") + F.col("u")) / (n["p"] + n["u"])
     z = (a - b) / F.sqrt(both * (1 - both) * (1 / n["p"] + 1 / n["u"]) + 1e-12)
-    top = counts.where((F.col("bucket") < BUCKETS) & (F.col("p") >= 3)).orderBy(F.abs(z).desc(), "bucket").limit(FEATURES).select("bucket").collect()
+    top = counts.where((F.col("bucket") < BUCKETS) & (F.col("p") >= 3)).orderBy(z.desc(), "bucket").limit(FEATURES).select("bucket").collect()
     words = np.sort(np.array([r["bucket"] for r in top], dtype=np.int64))
     is_pos, x = _presence(own, words)
     weights, bias = fit(x[is_pos], x[~is_pos], prior)
