@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators import engine as E
 from tessera.operators import gates as G
+from tessera.operators import observe as B
 from tessera.operators import outbox as O
 from tessera.streaming import observer as V
 
 from .analytics import _CAP, _MOST, OUTBOX_SQL, _outbox
-from .memory import _msgs
+from .memory import MSG_SQL, _msgs
 from .registry import query, table
 from .retrieval import _docs
 
@@ -56,3 +58,55 @@ def q_benchmark_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = e.groupBy(F.col("ts").cast("date").alias("day")).agg(F.ceil(F.percentile("value", 0.5)).cast("double").alias("p95_ms"), (F.count_if(F.col("event_type") != "error") / F.count("*")).alias("top1"))
     runs = d.select(F.col("day").alias("run_id"), F.col("day").alias("created_at"), "p95_ms", "top1", F.col("top1").alias("ndcg10"))
     return G.gate(runs, 5, 2).select(F.col("run_id").alias("day"), "passed", "gate_passed")
+
+
+@query(f"""WITH {MSG_SQL}, l AS (SELECT session_id, id, turn, '[' || role || '] ' || rtrim(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 240)) AS line FROM msgs WHERE trim(text, ' ') <> ''), f AS (SELECT session_id, line, min_by(id, (turn, id)) AS id FROM l GROUP BY ALL)
+SELECT session_id, id, line FROM f WHERE (session_id, line) NOT IN (SELECT session_id, line FROM l WHERE turn = 0)""")
+def q_observation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New observation lines of each session; those of the first turn are active already."""
+    m = _msgs(spark, sf_dir)
+    nothing = m.select("session_id", F.lit("").alias("line")).limit(0)
+    active = B.synthesize(m.where("turn = 0"), nothing)
+    return B.synthesize(m, active)
+
+
+@query(f"""WITH {MSG_SQL}, e AS (SELECT session_id AS scope, id AS entry_id, CASE WHEN turn % 4 = 0 THEN 'high' ELSE 'medium' END AS priority, created_at, substr(text, 1, 60) AS line, CAST(turn % 2 AS INTEGER) AS origin FROM msgs),
+u AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY scope ORDER BY CASE WHEN priority <> 'high' THEN 1 ELSE 0 END, created_at DESC, entry_id ROWS UNBOUNDED PRECEDING) AS used FROM e) SELECT scope, entry_id, CAST(used AS BIGINT) AS used FROM u WHERE used <= 150""")
+def q_bounded_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of each scope that fit a hint of 150 characters."""
+    m = _msgs(spark, sf_dir)
+    e = m.select(F.col("session_id").alias("scope"), F.col("id").alias("entry_id"), F.when(F.col("turn") % 4 == 0, "high").otherwise("medium").alias("priority"), "created_at", F.substring("text", 1, 60).alias("line"), "turn")
+    seen = B.visible_entries(e.where("turn % 2 = 0"), e)
+    return B.bounded_hint(seen, 150).select("scope", "entry_id", "used")
+
+
+@query()
+def q_batch_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of each session in batches of at most 150 tokens."""
+    rows = _msgs(spark, sf_dir).select("session_id", "id", "turn", T.estimate_tokens(F.col("text")).alias("tokens"))
+    return B.pack(rows, "session_id", ["turn", "id"], "tokens", 150)
+
+
+@query("""WITH f AS (SELECT event_id AS id, event_type AS category, props AS text, CAST(floor(value * 3) AS INTEGER) AS confidence FROM events), ok AS (SELECT * FROM f WHERE confidence <= 1000 AND length(text) <= 512 AND trim(text, ' ') <> '')
+SELECT category, text, min(id) AS id, max(confidence) AS confidence FROM ok WHERE (category, text) NOT IN (SELECT category, text FROM f WHERE id % 50 = 0) GROUP BY category, text""")
+def q_promotion_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best-effort promotion of events as facts."""
+    f = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("category"), F.col("props").alias("text"), F.array("event_id").alias("ids"), F.floor(F.col("value") * 3).cast("int").alias("confidence"))
+    return B.promote(f, f.where("id % 50 = 0"), best_effort=True)
+
+
+@query("""WITH l AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 9 <> 0), d AS (SELECT doc_id, md5(CASE WHEN doc_id % 10 = 0 THEN text || 'x' ELSE text END) AS h FROM documents WHERE doc_id % 8 <> 0)
+SELECT CAST(coalesce(l.doc_id, d.doc_id) AS VARCHAR) AS uri, CASE WHEN d.h IS NULL THEN 'missing' WHEN l.h IS NULL THEN 'untracked' ELSE 'changed' END AS drift FROM l FULL JOIN d ON l.doc_id = d.doc_id WHERE l.h IS DISTINCT FROM d.h""")
+def q_reconcile_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger of hashes against the documents."""
+    d = table(spark, sf_dir, "documents")
+    uri = F.col("doc_id").cast("string").alias("uri")
+    now = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    return B.drift(d.where("doc_id % 9 <> 0").select(uri, F.md5("text").alias("hash")), d.where("doc_id % 8 <> 0").select(uri, F.md5(now).alias("hash")))
+
+
+@query("SELECT count(*) FILTER (event_id % 5 <> 0) AS found, count(*) FILTER (event_id % 5 = 0) AS missing, CAST(0 AS BIGINT) AS invalid FROM events")
+def q_trace_index_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trace index against its documents."""
+    e = table(spark, sf_dir, "events")
+    return B.trace_join(e.select(F.col("event_id").alias("trace_id")), e.where("event_id % 5 <> 0").select(F.col("event_id").alias("trace_id"), F.col("props").alias("payload")))

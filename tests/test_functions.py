@@ -153,3 +153,18 @@ def test_continuation_is_gated(spark):
     df = spark.createDataFrame(rows, "session_id long, id string, created_at int, task string, confidence int")
     r = memory.continuation_fold(df).first()
     assert (r.task, r.applied) == ("second", 2)
+
+
+def test_packing_promotion_and_pure_reflection(spark):
+    from tessera.operators import observe
+
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate([60, 60, 60, 200, 10])], "k int, i int, tokens int")
+    assert [r.batch for r in observe.pack(rows, "k", ["i"], "tokens", 150).orderBy("i").collect()] == [0, 0, 1, 2, 3]
+    facts = spark.createDataFrame([("c", "a", 1, [1], 500), ("c", "a", 2, [1], 600), ("c", " ", 3, [1], 5), ("c", "old", 4, [1], 5)], "category string, text string, id int, ids array<int>, confidence int")
+    old = facts.where("text = 'old'")
+    assert [(r.text, r.id, r.confidence) for r in observe.promote(facts, old, True).collect()] == [("a", 1, 600)]
+    assert observe.promote(facts, old, False).count() == 0
+    e = spark.createDataFrame([(1, "x", "t", "medium", None)], "scope int, entry_id string, text string, priority string, superseded_by string")
+    r = spark.createDataFrame([(1, "r", "m", ["x"]), (1, "q", "n", ["none"])], "scope int, event_id string, text string, covers array<string>")
+    assert sorted((x.entry_id, x.priority, x.superseded_by) for x in observe.reflect_pure(e, r).collect()) == [("r", "medium", None), ("x", "medium", "r")]
+    assert {x.entry_id: x.priority for x in memory.apply_reflection(e, r).collect()} == {"x": "medium", "r": "high", "q": "high"}
