@@ -4,7 +4,10 @@ A test item of L bytes has an error budget of k = floor(L x RATE) edits. It is
 split into k + 1 pieces; where the item occurs with at most k edits, one piece
 at least is untouched. An automaton over the pieces of all items reads each
 text once; every exact piece hit names a window in which the item would lie,
-and Myers' bit-parallel distance verifies the window.
+and Myers' bit-parallel distance verifies the window. It is verified upwards:
+of n pieces with fewer than n edits, one half has fewer edits than pieces, so a
+true hit holds in its pair of pieces, in that pair's pair, and so on up to the
+item, and a chance hit mostly fails in the first, short, comparison.
 
 The items are the benchmark table, which doesn't grow with the corpus. They are
 collected under a checked bound (``MAX_ITEM_BYTES``); a larger benchmark is
@@ -70,45 +73,71 @@ class Pattern:
         return low, end
 
 
+def ladder(n: int) -> list[list[tuple[int, int]]]:
+    """For each of n pieces the ranges of pieces above it, from its pair to all."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+
+    def halve(a: int, b: int) -> None:
+        if b - a > 1:
+            halve(a, (a + b) // 2)
+            halve((a + b) // 2, b)
+            for i in range(a, b):
+                out[i].append((a, b))
+
+    halve(0, n)
+    return out
+
+
 class Matcher:
     """Finds all items in texts."""
 
     def __init__(self, items: list[tuple[object, bytes]], rate: float = RATE):
         self.items = items
-        self.budget = [int(len(t) * rate) for _, t in items]
-        self.pattern: dict[int, Pattern] = {}
+        self.starts: list[list[int]] = []
+        self.ladders: dict[int, list[list[tuple[int, int]]]] = {}
+        self.pattern: dict[tuple[int, int, int], Pattern] = {}
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (_, item) in enumerate(items):
-            for at, piece in pieces(item, rate):
-                found.setdefault(piece.decode("latin-1"), []).append((k, at))
+            own = pieces(item, rate)
+            self.starts.append([at for at, _ in own] + [len(item)])
+            self.ladders.setdefault(len(own), ladder(len(own)))
+            for i, (_, piece) in enumerate(own):
+                found.setdefault(piece.decode("latin-1"), []).append((k, i))
         self.auto = ahocorasick.Automaton()
         for piece, where in found.items():
             self.auto.add_word(piece, (len(piece), where))
         self.auto.make_automaton()
 
+    def _verify(self, t: bytes, k: int, i: int, at: int) -> int | None:
+        """Least distance of item k around piece i at a place of the text; None if over its budget."""
+        starts, item = self.starts[k], self.items[k][1]
+        n = len(starts) - 1
+        zero = at - starts[i]  # where the item would start without edits
+        if zero >= 0 and t[zero : zero + len(item)] == item:
+            return 0
+        d = 0
+        for a, b in self.ladders[n][i]:
+            budget = b - a - 1
+            p = self.pattern.get((k, a, b))
+            if p is None:
+                p = self.pattern[k, a, b] = Pattern(item[starts[a] : starts[b]])
+            d, _ = p.best(t[max(0, zero + starts[a] - budget) : max(0, zero + starts[b] + budget)])
+            if d > budget:
+                return None
+        return d
+
     def find(self, text: str | None) -> list[tuple[int, int]]:
         """(item's number, least distance) of every item within its budget."""
         t = fold(text)
         if not t or not self.items:
             return []
         out: dict[int, int] = {}
-        tried: dict[int, int] = {}
         for end, (n, where) in self.auto.iter(t.decode("latin-1")):
-            for k, at in where:
+            for k, i in where:
                 if out.get(k) == 0:
                     continue
-                item, budget = self.items[k][1], self.budget[k]
-                start = end + 1 - n - at
-                if tried.get(k) == start:  # the next piece of the same place
-                    continue
-                tried[k] = start
-                low = max(0, start)
-                if t[low : start + len(item)] == item:
-                    out[k] = 0
-                    continue
-                p = self.pattern.get(k) or self.pattern.setdefault(k, Pattern(item))
-                d, _ = p.best(t[max(0, start - budget) : start + len(item) + budget])
-                if d <= budget:
+                d = self._verify(t, k, i, end + 1 - n)
+                if d is not None:
                     out[k] = min(d, out.get(k, d))
         return sorted(out.items())
 

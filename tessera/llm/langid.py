@@ -120,27 +120,30 @@ def score(text: str | None, langs: list[str], logp: np.ndarray) -> tuple[str, fl
     return langs[best], float(1.0 / np.exp(total - total[best]).sum())
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: doc_id) with ``lang_pred`` and ``score``.
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` (default: doc_id) with the language and its score, called ``names``.
 
     A null text, an empty one and one without letters is ``und`` with score 0.
     Texts are read whole, in blocks. Ties go to the language that sorts first.
     Repeated rows are scored alike; an empty table gives an empty result.
+    Columns of ``keep`` that have one of ``names`` are left out.
     """
-    spark, keep = docs.sparkSession, keep or ["doc_id"]
+    spark = docs.sparkSession
+    keep = [c for c in keep or ["doc_id"] if c not in names]
+    own = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    at = own.columns.index("text")
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logp = sent.value
         for batch in batches:
-            found = [score(t.as_py(), langs, logp) for t in batch.column(len(keep))]
+            found = [score(t.as_py(), langs, logp) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
-                [*keep, "lang_pred", "score"],
+                [*keep, *names],
             )
 
-    own = docs.select(*keep, F.col("text").alias("__text"))
-    schema = own.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
     return own.mapInArrow(run, schema)
 
 
