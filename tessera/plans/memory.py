@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import chunks as C
 from tessera.operators import memory as M
 
 from .registry import query, table
@@ -192,3 +193,33 @@ def q_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = declared.join(used, F.col("kind") == F.col("event_type"), "left")
     n = F.coalesce("n", F.lit(0))
     return both.select("kind", n.alias("uses"), (n > 0).alias("holds"))
+
+
+@query(f"WITH {MSG_SQL} SELECT session_id, CAST(sum(ceil(length(text) / 4.0)) AS BIGINT) AS tokens, max_by(id, (created_at, id)) AS anchor, max(created_at) AS last_observed, list_sort(list(DISTINCT id)) AS message_ids FROM msgs WHERE trim(text, ' ') <> '' GROUP BY session_id")
+def q_observation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chunk of each session's messages."""
+    return C.build_chunks(_msgs(spark, sf_dir))
+
+
+@query(f"WITH {SAID_SQL} SELECT DISTINCT category, text, session_id::VARCHAR AS session_id, id FROM (SELECT category, regexp_extract(text, '^[A-Z][^.]*[.]') AS text, session_id, id FROM ({_category_sql()})) WHERE text <> ''")
+def q_memory_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories written as documents by category and read back."""
+    m = M.extract_memories(_said(spark, sf_dir)).withColumn("text", F.regexp_extract("text", "^[A-Z][^.]*[.]", 0)).where("text <> ''")
+    return C.render_entries(m).mapInPandas(C.parse_documents, "category string, text string, session_id string, id string")
+
+
+@query()
+def q_memory_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key of every memory."""
+    return C.with_memory_keys(M.extract_memories(_said(spark, sf_dir)).select("category", "text", "id"))
+
+
+@query("""WITH n AS (SELECT event_id // 2 AS event_id, event_id AS seq, user_id AS scope, event_id % 3 AS generation FROM events), f AS (SELECT event_id, min(seq) AS seq, min_by(scope, seq) AS scope, min_by(generation, seq) AS generation FROM n GROUP BY event_id)
+SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'idempotent_event' WHEN generation <> scope % 3 THEN 'stale_generation' ELSE 'applied' END AS outcome FROM f""")
+def q_chunk_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks appended once for each event, if their generation is the present one."""
+    e = table(spark, sf_dir, "events")
+    new = e.select(F.floor(F.col("event_id") / 2).alias("event_id"), F.col("event_id").alias("seq"), F.col("user_id").alias("scope"), (F.col("event_id") % 3).alias("generation"))
+    done = new.where("event_id % 10 = 0").select("event_id")
+    now = e.select(F.col("user_id").alias("scope"), (F.col("user_id") % 3).alias("generation")).distinct()
+    return C.append_chunks(new, done, now).select("event_id", "outcome")

@@ -168,3 +168,19 @@ def test_packing_promotion_and_pure_reflection(spark):
     r = spark.createDataFrame([(1, "r", "m", ["x"]), (1, "q", "n", ["none"])], "scope int, event_id string, text string, covers array<string>")
     assert sorted((x.entry_id, x.priority, x.superseded_by) for x in observe.reflect_pure(e, r).collect()) == [("r", "medium", None), ("x", "medium", "r")]
     assert {x.entry_id: x.priority for x in memory.apply_reflection(e, r).collect()} == {"x": "medium", "r": "high", "q": "high"}
+
+
+def test_keys_and_configuration(spark):
+    from tessera.operators import chunks
+
+    assert chunks.text_key("Hello, World!") == chunks.text_key("hello world") != chunks.text_key("hello")
+    assert chunks.buffer_tokens(None, 100) == 0 and chunks.buffer_tokens(0.2, 100) == 20 and chunks.buffer_tokens(50, 100) == 50
+    assert chunks.block_after(1.2, 100) == 120 and chunks.block_after(300, 100) == 300
+    for bad in (0, -1):
+        with pytest.raises(ValueError):
+            chunks.buffer_tokens(bad, 100)
+    rows = [("Persona ", "0.5"), ("rules", "900"), ("x", None)]
+    got = values(spark, rows, "c string, v string", chunks.category_of(F.col("c")), chunks.confidence_of(F.col("v")), chunks.thread_id(F.lit(" "), F.col("c")))
+    assert got == [("profile", 500, "Persona"), ("patterns", 900, "rules"), (None, 700, "x")]
+    faults = spark.createDataFrame([(0, 1, ["a", "a"]), (1, 1, ["a"])], "seq int, tokens int, message_ids array<string>")
+    assert [r.faults for r in chunks.chunk_faults(faults).collect()] == [["seq", "repeated_ids"]]
