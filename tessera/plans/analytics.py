@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scoring as S
 from tessera.functions import text as T
+from tessera.operators import evals as V
 from tessera.operators import outbox as O
 
 from .registry import query, table
@@ -188,3 +189,58 @@ def q_corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, b = F.count("*"), F.sum(F.octet_length("text"))
     kind = F.when((n >= 5000) | (b >= 1 << 30), "M").when((n >= 1500) | (b >= 300 << 20), "S").otherwise("custom")
     return table(spark, sf_dir, "documents").agg(n.alias("files"), b.alias("bytes"), kind.alias("profile"))
+
+
+@query("""WITH g AS (SELECT item_id, text AS query FROM benchmark WHERE item_id % 2 = 0), t AS (SELECT lower(text) AS q, min(item_id) AS pos, min_by(text, item_id) AS query FROM benchmark GROUP BY 1)
+SELECT query, 'ctx://resources/b/' || item_id AS expected_uri, 'golden' AS source FROM g UNION ALL (SELECT query, 'ctx://resources/b/' || pos, 'golden-seed' FROM t WHERE q NOT IN (SELECT lower(query) FROM g) ORDER BY pos LIMIT 5)""")
+def q_golden_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Golden cases with up to five new ones from traces."""
+    b = table(spark, sf_dir, "benchmark")
+    case = lambda source: [F.col("text").alias("query"), F.concat(F.lit("ctx://resources/b/"), F.col("item_id").cast("string")).alias("expected_uri"), F.lit(source).alias("source"), F.col("item_id").alias("pos")]
+    return V.merge_golden(b.where("item_id % 2 = 0").select(*case("golden")), b.select(*case("trace")), 5).drop("pos")
+
+
+_RUNS_SQL = "runs AS (SELECT CAST(ts AS DATE) AS day, CAST(max(ceil(value)) AS BIGINT) AS p95_ms, round(count(*) FILTER (event_type <> 'error') / count(*), 4) AS top1 FROM events GROUP BY 1)"
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(F.col("ts").cast("date").alias("day")).agg(F.max(F.ceil("value")).cast("long").alias("p95_ms"), F.round(F.count_if(F.col("event_type") != "error") / F.count("*"), 4).alias("top1"))
+
+
+@query(f"WITH {_RUNS_SQL} SELECT count(*) AS iterations, list_sort(list(p95_ms))[count(*) // 2 + 1] AS p95_ms_median, round(avg(top1), 6) AS top1_avg FROM runs")
+def q_amortized_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upper median of the iterations' latency and their mean accuracy; a row a day goes in."""
+    r = _runs(spark, sf_dir).withColumns({"ndcg10": F.col("top1"), "recall10": F.col("top1")})
+    return V.amortized(r).select("iterations", "p95_ms_median", "top1_avg")
+
+
+@query(f"WITH {_RUNS_SQL}, d AS (SELECT day, p95_ms - lag(p95_ms) OVER (ORDER BY day) AS a, top1 - lag(top1) OVER (ORDER BY day) AS b FROM runs) SELECT day, CASE WHEN a IS NULL AND b IS NULL THEN 'insufficient_history' WHEN a <= 0 AND b >= 0 THEN 'improved' WHEN a > 0 AND b < 0 THEN 'regressed' ELSE 'mixed' END AS status FROM d")
+def q_benchmark_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run's trend against the run before."""
+    return V.trend(_runs(spark, sf_dir).withColumns({"run_id": F.col("day"), "created_at": F.col("day")})).select("day", "status")
+
+
+@query("SELECT bucket, CAST(sum(n) AS BIGINT) AS cases FROM (SELECT event_type AS bucket, 1 AS n FROM events UNION ALL SELECT * FROM (VALUES ('click', 0), ('filter_ignored', 0), ('relation_missing', 0))) GROUP BY bucket")
+def q_required_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets with zeros for the required ones that have no case."""
+    cases = table(spark, sf_dir, "events").select(F.col("event_type").alias("bucket"))
+    return V.bucket_counts(cases, ["click", "filter_ignored", "relation_missing"])
+
+
+@query("SELECT count(*) AS attempts, count(*) FILTER (event_id % 4 < 2) AS applied, count(*) FILTER (event_id % 4 = 2) AS stale, count(*) FILTER (event_id % 4 = 3) AS idempotent, round(count(*) FILTER (event_id % 4 = 2) / count(*), 6) AS stale_ratio, round(sum(CAST(ceil(value) AS BIGINT)) / count(*), 6) AS avg_latency, CAST(max(ceil(value)) AS BIGINT) AS max_latency FROM events")
+def q_apply_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reflection outcomes as counts and ratios."""
+    kind = F.when(F.col("event_id") % 4 < 2, "applied").when(F.col("event_id") % 4 == 2, "stale_generation").otherwise("idempotent_event")
+    return V.apply_metrics(table(spark, sf_dir, "events").select(kind.alias("outcome"), F.ceil("value").cast("long").alias("latency_ms")))
+
+
+@query("""WITH s AS (SELECT conv_id // 4 AS scope, conv_id::VARCHAR AS thread, string_agg(role || turn, ' ' ORDER BY turn) AS observations, max(CASE WHEN role = 'user' THEN conv_id::VARCHAR END) AS task FROM conversations GROUP BY conv_id)
+SELECT scope, string_agg('<thread id="' || thread || '">' || chr(10) || observations || chr(10) || '</thread>', chr(10) ORDER BY thread) AS observations, coalesce(min(task) FILTER (CAST(thread AS BIGINT) % 4 = 2), min_by(task, thread) FILTER (task IS NOT NULL)) AS task FROM s GROUP BY scope""")
+def q_thread_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of several threads as one text, with the preferred thread's task."""
+    c = table(spark, sf_dir, "conversations")
+    name = F.col("conv_id").cast("string")
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat(x["role"], x["turn"].cast("string"))), " ")
+    s = c.groupBy("conv_id").agg(words.alias("observations"), F.max(F.when(F.col("role") == "user", name)).alias("task")).select(F.floor(F.col("conv_id") / 4).alias("scope"), name.alias("thread"), "observations", "task")
+    return V.thread_sections(s, F.col("thread").cast("long") % 4 == 2)
