@@ -16,7 +16,7 @@ from tessera.llm import decontam, langid, mixing, pii, simhash
 from tessera.llm.common import stored, table
 
 #: Documents whose language has a lower posterior are rejected, with those without any letter.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

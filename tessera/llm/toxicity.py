@@ -63,7 +63,7 @@ def _logistic(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, steps: int = 1200, rate: float = 0.05, decay: float = 3e-5) -> tuple[np.ndarray, float]:
+def fit(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, steps: int = 2500, rate: float = 0.05, decay: float = 3e-5) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk, by Adam on whole batches.
 
     Where the negative part of the risk falls below zero, the step goes up its

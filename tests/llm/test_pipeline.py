@@ -13,7 +13,7 @@ def test_stages_against_plain_forms(spark):
     model = langid.train(docs)
     one = cp.stored(cp.language_id(spark, docs, SF), "t1")
     assert one.columns == COLUMNS
-    want = {r.doc_id for r in before if (lambda p: p[0] != "und" and p[1] >= 0.5)(langid.score(r.text, *model))}
+    want = {r.doc_id for r in before if (lambda p: p[0] != "und" and p[1] >= cp.LEAST_SCORE)(langid.score(r.text, *model))}
     assert {r.doc_id for r in one.collect()} == want
 
     from test_simhash import slow_components, slow_fp
