@@ -22,18 +22,32 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Folders that ``stored`` has written in this process.
+_WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back.
 
     This cuts lineage and survives lost executors: a later failure rereads the
-    files instead of running the whole plan again.
+    files instead of running the whole plan again. The files stay, since
+    results read them; ``clear`` removes them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove what ``stored`` has written in this process; call it when all results are written elsewhere."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def crc_of(column: Column | str) -> Column:
     """crc32 of a value's text; nulls count as the empty text."""
     c = F.col(column) if isinstance(column, str) else column

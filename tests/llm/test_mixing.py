@@ -45,3 +45,12 @@ def test_edges(spark):
     assert kept.columns == [*df.columns, "repeats"] and all(1 <= r.repeats <= 3 for r in kept.collect())
     none = spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")
     assert mixing.mix(none).first().taken == 0
+
+
+def test_clear_removes_written_tables(spark):
+    from tessera.llm import common
+
+    df = common.stored(spark.range(3).toDF("id"), "t")
+    assert df.count() == 3 and len(df.inputFiles()) > 0
+    common.clear(spark)
+    assert not common._WRITTEN
