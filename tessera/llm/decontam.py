@@ -1,6 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-A test item of L bytes has an error budget of k = floor(L x RATE) edits. It is
+A test item of L bytes has an error budget of k = floor(L x RATE) edits, or none
+if it has fewer than ``MIN_BYTES``: it then has to occur as whole words. It is
 split into k + 1 pieces; where the item occurs with at most k edits, one piece
 at least is untouched. An automaton over the pieces of all items reads each
 text once; every exact piece hit names a window in which the item would lie,
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RATE = 0.1
-#: Items with fewer bytes after folding are too short to name a source.
+#: Items with fewer bytes after folding have no error budget: they are found as whole words.
 MIN_BYTES = 40
 MAX_ITEM_BYTES = 32 << 20
 #: ASCII letters become lower case, other ASCII but digits becomes a space.
@@ -89,7 +90,7 @@ def ladder(n: int) -> list[list[tuple[int, int]]]:
 
 
 class Matcher:
-    """Finds all items in texts."""
+    """Finds all items in texts: long ones within their error budget, short ones exactly, at word borders."""
 
     def __init__(self, items: list[tuple[object, bytes]], rate: float = RATE):
         self.items = items
@@ -98,7 +99,7 @@ class Matcher:
         self.pattern: dict[tuple[int, int, int], Pattern] = {}
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (_, item) in enumerate(items):
-            own = pieces(item, rate)
+            own = pieces(item, rate if len(item) >= MIN_BYTES else 0)
             self.starts.append([at for at, _ in own] + [len(item)])
             self.ladders.setdefault(len(own), ladder(len(own)))
             for i, (_, piece) in enumerate(own):
@@ -113,6 +114,9 @@ class Matcher:
         starts, item = self.starts[k], self.items[k][1]
         n = len(starts) - 1
         zero = at - starts[i]  # where the item would start without edits
+        if len(item) < MIN_BYTES:  # the piece is the item
+            stop = at + len(item)
+            return 0 if (at == 0 or t[at - 1] == 32) and (stop == len(t) or t[stop] == 32) else None
         if zero >= 0 and t[zero : zero + len(item)] == item:
             return 0
         d = 0
@@ -143,12 +147,12 @@ class Matcher:
 
 
 def load_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[object, bytes]]]:
-    """Folded items in slices of at most ``MAX_ITEM_BYTES``; repeated items count once, short and null ones go."""
+    """Folded items in slices of at most ``MAX_ITEM_BYTES``; repeated items count once; null ones and those without a letter or digit go."""
     size, own = 0, []
     rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null and i is not null").distinct().orderBy("i", "t")
     for row in rows.toLocalIterator():
         item = fold(row.t)
-        if len(item) < MIN_BYTES:
+        if not item:
             continue
         if own and size + len(item) > MAX_ITEM_BYTES:
             yield own
@@ -163,8 +167,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
 
     Texts and items are compared as lower case letters and digits, so case,
     punctuation and white space don't count; texts are read whole. Null and
-    empty texts match nothing; a null item or id, or an item under
-    ``MIN_BYTES``, is no item. An item that a text holds several times is one
+    empty texts match nothing; a null item or id, or an item without a letter
+    or digit, is no item. An item under ``MIN_BYTES`` matches without edits,
+    as whole words. An item that a text holds several times is one
     row with its least distance, and so are repeated items; a repeated document row repeats its matches.
     Other columns are ignored; an empty table on either side gives no rows.
     """

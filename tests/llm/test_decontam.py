@@ -72,3 +72,10 @@ def test_edges(spark):
     kept = decontam.drop_contaminated(d, b)
     assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "4", "None"]
     assert decontam.contaminated(d, b.limit(0)).count() == decontam.contaminated(d.limit(0), b).count() == 0
+
+
+def test_short_items_are_found_as_whole_words(spark):
+    b = spark.createDataFrame([(1, "x = f(y)?"), (2, "Why is it so?"), (3, "?!"), (4, "É")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "then X=F(Y), done"), (2, "why is it sober"), (3, "awhy is it so"), (4, "Why is it so"), (5, "why is it s"), (6, "?! é"), (7, "why is it sort of, why is it so!")], "doc_id long, text string")
+    assert sorted(map(tuple, decontam.contaminated(d, b).collect())) == [(1, 1, 0), (4, 2, 0), (6, 4, 0), (7, 2, 0)]
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(d, b).collect()) == [2, 3, 5]
