@@ -3,7 +3,8 @@
 Three base patterns give findings that always stay. Beside them, every token
 of 16 or more characters that mixes letters and digits is a candidate. A
 network in numpy (characters, one convolution, maximum over places, one
-output) reads the candidate with the text before and behind it. It is trained
+output) reads the candidate with the text before and behind it; of a candidate
+longer than its input it reads overlapping windows, and the best one counts. It is trained
 on labelled findings that a seeded generator writes: keys, tokens and hashes in
 the contexts in which they leak, against identifiers, paths, dates, numbers and
 words with digits. Scores are calibrated on a held-out half; the threshold is
@@ -17,6 +18,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Characters of context before, of the candidate's head and tail, and behind.
 BEFORE, HEAD, TAIL, BEHIND = 24, 32, 16, 8
 WIDTH = BEFORE + HEAD + TAIL + BEHIND
+#: Places between two windows of a long candidate: what is no longer than HEAD + TAIL - STEP lies whole in one of them.
+STEP = 8
 CODES, FILTERS, SPAN = 97, 24, 5
 RECALL = 0.98
 EXAMPLES = 3000
@@ -84,6 +88,14 @@ def encode(text: str, start: int, end: int) -> np.ndarray:
     return np.where(codes == 0, 0, np.where((codes >= 32) & (codes < 127), codes - 31, CODES - 1))
 
 
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """The parts of a candidate that are encoded: itself, and if it is too long to be read whole, all windows over it."""
+    size = HEAD + TAIL
+    if end - start <= size:
+        return [(start, end)]
+    return [(start, end), *((a, a + size) for a in range(start, end - size, STEP)), (end - size, end)]
+
+
 def forward(net: Network, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(logits, pooled activations, places of the maxima) of a batch."""
     n = WIDTH - SPAN + 1
@@ -181,11 +193,13 @@ def model() -> Network:
 
 
 def scores(net: Network, text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-    out = []
-    for lo in range(0, len(spans), 256):
-        x = np.stack([encode(text, a, b) for a, b in spans[lo : lo + 256]])
-        out.append(_probability(net.slope * forward(net, x)[0] + net.offset))
-    return np.concatenate(out) if out else np.zeros(0)
+    """The score of each span: the highest of its windows."""
+    best = np.zeros(len(spans))
+    parts = ((i, w) for i, s in enumerate(spans) for w in windows(*s))
+    while own := list(islice(parts, 256)):
+        x = np.stack([encode(text, *w) for _, w in own])
+        np.maximum.at(best, [i for i, _ in own], _probability(net.slope * forward(net, x)[0] + net.offset))
+    return best
 
 
 def findings(text: str | None, net: Network) -> list[dict]:

@@ -43,3 +43,20 @@ def test_rows(spark):
     base = f"assign:2:{leak.index('ff') + 2},hex:11:51"
     assert out[2].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
     assert out[2].spans.startswith(base) and "token:" in out[2].spans
+
+
+def test_long_candidates_are_read_whole():
+    net = secrets.model()
+    for n in range(16, 200):
+        covered = {i for a, b in secrets.windows(5, 5 + n)[1 if n > 48 else 0 :] for i in range(a, b)}
+        assert covered == set(range(5, 5 + n)) and all(b - a <= 48 for a, b in secrets.windows(5, 5 + n)[1:])
+    plain = "the/on/an/re/le/de/" * 4
+    scored = {}
+    for middle in ("entiondetheentiondetheention", "xK9dPq27LmZt40RsVbYh8Wc3JtQ5"):
+        text = f"see {plain}{middle}/{plain}4 end"
+        span = secrets.candidates(text)
+        assert len(span) == 1 and span[0][1] - span[0][0] > 150
+        scored[middle] = secrets.scores(net, text, span)[0]
+        assert scored[middle] == max(secrets.scores(net, text, [w])[0] for w in secrets.windows(*span[0])[1:] + [span[0]])
+    low, high = scored.values()
+    assert low < net.threshold <= high
