@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.llm import decontam, langid, mixing, pii, simhash
 from tessera.llm.common import stored, table
 
-#: Documents whose language has a lower posterior are rejected, with those without any letter.
+#: Documents whose language has a lower posterior are rejected, with those without any letter and those that fit no learned language.
 LEAST_SCORE = 0.3
 
 
@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
     if not model[0]:  # no labelled row: nothing can be told, nothing is rejected but texts without letters
         return docs.where(F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"\p{L}")))
-    found = langid.identify(docs, model, list(docs.columns), ("__lang", "__score"))
+    found = langid.identify(docs, model, list(docs.columns), ("__lang", "__score"), langid.floors(docs, model))
     return found.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
 
 

@@ -103,27 +103,67 @@ def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> tuple[list[str
     return langs, np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
-def score(text: str | None, langs: list[str], logp: np.ndarray) -> tuple[str, float]:
-    """(language, its posterior under equal priors); ``und`` and 0 without letters or languages."""
-    total, seen = np.zeros(len(langs)), False
+def totals(text: str | None, logp: np.ndarray) -> tuple[np.ndarray, int]:
+    """(sum of the n-grams' log-probabilities under each language, number of n-grams)."""
+    total, n = np.zeros(logp.shape[1]), 0
     for b in buckets(text):
-        seen = True
-        if not langs:
+        n += len(b)
+        if not logp.shape[1]:
             break
         if len(b) >= BUCKETS:
             total += np.bincount(b, minlength=BUCKETS) @ logp
         else:
             total += logp.take(b, axis=0).sum(axis=0, dtype=np.float64)
-    if not seen or not langs:
+    return total, n
+
+
+def score(text: str | None, langs: list[str], logp: np.ndarray, least: np.ndarray | None = None) -> tuple[str, float]:
+    """(language, its posterior under equal priors); ``und`` and 0 without letters or languages, or under the language's ``least``."""
+    total, n = totals(text, logp)
+    if not n or not langs:
         return "und", 0.0
     best = int(total.argmax())
+    if least is not None and total[best] / n < least[best]:
+        return "und", 0.0
     return langs[best], float(1.0 / np.exp(total - total[best]).sum())
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def floors(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> np.ndarray:
+    """For each language the mean log-probability an n-gram under which a text isn't that language.
+
+    The posterior only tells learned languages from each other, so a text in
+    none of them can have 1. This is half way between the median of all
+    labelled rows under their own language and an n-gram drawn evenly from the
+    buckets; it doesn't depend on the other languages. Means are rounded to
+    thousandths, which bounds the exact median's state.
+    """
+    langs, logp = model
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, logp = sent.value
+        own = {x: np.ascontiguousarray(logp[:, i : i + 1]) for i, x in enumerate(langs)}
+        for batch in batches:
+            names, means = [], []
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if lang in own:
+                    total, n = totals(text.as_py(), own[lang])
+                    if n:
+                        names.append(lang), means.append(round(float(total[0]) / n, 3))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(means, pa.float64())], ["lang", "mean"])
+
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text").mapInArrow(run, "lang string, mean double")
+    out = np.full(len(langs), -np.inf)
+    for r in rows.groupBy("lang").agg(F.median("mean").alias("mid")).collect():
+        out[langs.index(r.lang)] = (r.mid - np.log(BUCKETS)) / 2
+    return out
+
+
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score"), least: np.ndarray | None = None) -> DataFrame:
     """The columns ``keep`` (default: doc_id) with the language and its score, called ``names``.
 
-    A null text, an empty one and one without letters is ``und`` with score 0.
+    A null text, an empty one and one without letters is ``und`` with score 0,
+    and so is one under its language's ``least`` (see ``floors``), if given.
     Texts are read whole, in blocks. Ties go to the language that sorts first.
     Repeated rows are scored alike; an empty table gives an empty result.
     Columns of ``keep`` that have one of ``names`` are left out.
@@ -132,12 +172,12 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
     keep = [c for c in keep or ["doc_id"] if c not in names]
     own = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
     at = own.columns.index("text")
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast((*model, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, logp = sent.value
+        langs, logp, least = sent.value
         for batch in batches:
-            found = [score(t.as_py(), langs, logp) for t in batch.column(at)]
+            found = [score(t.as_py(), langs, logp, least) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                 [*keep, *names],

@@ -36,3 +36,16 @@ def test_edges(spark):
     assert len(out) == 7 and {r.lang_pred for r in out if r.doc_id == 1} == {"en"}
     assert langid.held_out_identify(df.limit(0)).count() == 0
     assert {r.lang_pred for r in langid.identify(df, langid.train(df.limit(0))).collect()} == {"und"}
+
+
+STRANGE = ["Быстрая коричневая лиса прыгает через ленивую собаку и бежит дальше в лес.", "敏捷的棕色狐狸跳过了懒狗然后跑进森林里去了", "Nopea ruskea kettu hyppää laiskan koiran yli ja juoksee metsään", "xqzv kjwq zzxk"]
+
+
+def test_unlearned_languages_are_rejected(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(DOCS).select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate([*STRANGE, "the cat sat there and then"])], docs.schema)
+    for own in (docs, docs.where("lang = 'en'")):  # with one language the posterior is always 1
+        kept = {r.doc_id for r in cp.language_id(spark, own.unionByName(more), "").select("doc_id").collect()}
+        assert {i for i in kept if i >= 10**6} == {10**6 + len(STRANGE)} and len(kept) == own.count() + 1
