@@ -35,8 +35,8 @@ def bm25(postings: DataFrame, terms: list[str]) -> DataFrame:
     return scored.groupBy("uri").agg(F.sum(part).alias("bm25"), F.count("*").alias("matched"))
 
 
-def bm25_scan(docs: DataFrame, words: Column, terms: list[str], keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with ``bm25`` and ``matched``, of documents with a query term, without an index.
+def bm25_scan(docs: DataFrame, words: Column, terms: list[str], keep: list[str], every: bool = False) -> DataFrame:
+    """The columns ``keep`` with ``bm25`` and ``matched``, of documents with a query term (or ``every`` one), without an index.
 
     Each scan counts a document's words and query terms in its own row; the
     corpus statistics are one row that is broadcast. Nothing is shuffled but
@@ -48,7 +48,7 @@ def bm25_scan(docs: DataFrame, words: Column, terms: list[str], keep: list[str])
     counted = seen.select("*", *[c.alias(f"__tf{i}") for i, c in enumerate(tf)])
     filled = F.when(F.col("__len") > 0, F.col("__len"))  # a text without words is in no posting
     stats = counted.agg(F.count(filled).alias("__n"), F.avg(filled).alias("__avg"), *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(own))])
-    scored = counted.where(F.size("__hits") > 0).crossJoin(F.broadcast(stats))  # one row
+    scored = (counted if every else counted.where(F.size("__hits") > 0)).crossJoin(F.broadcast(stats))  # one row
     part = lambda i: F.when(F.col(f"__tf{i}") > 0, S.idf(F.col("__n"), F.col(f"__df{i}")) * S.bm25_term(F.col(f"__tf{i}"), F.col("__len"), F.col("__avg"))).otherwise(0.0)
     total, matched = F.lit(0.0), F.lit(0)
     for i in range(len(own)):
