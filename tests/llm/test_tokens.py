@@ -54,3 +54,31 @@ def test_edges(spark, tok):
     arrays = {r.doc_id: r.prefix_tokens for r in tokens.prefix_table(df).collect()}
     assert arrays[1] == arrays[2] == [0] and len(arrays[3]) == 12
     assert tokens.within(arrays[3], 1) == max(p for p in range(12) if n(tok, "hello there"[:p]) <= 1)
+
+
+def test_blocks_and_shared_pieces(tok, monkeypatch):
+    rng = random.Random(5)
+    alphabet = list("abcdethiosn  \n\t'.,;!?019éßñ") + ["'re", " the", "tion", "<|endoftext|>"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 90))) for _ in range(80)] + [None, ""]
+    want = [[n(tok, t[:p]) for p in range(len(t) + 1)] for t in (t or "" for t in texts)]
+    for block, memo, short in ((1 << 21, 1 << 18, 256), (16, 1 << 18, 4), (7, 20, 1)):
+        for name, value in (("BLOCK", block), ("MEMO", memo), ("SHORT", short)):
+            monkeypatch.setattr(tokens, name, value)
+        own = tokens.PrefixCounter(PATH)
+        for _ in range(2):
+            got = [[int(x) for part in parts for x in part] for parts in own.many(texts)]
+            assert got == want
+
+
+def test_very_long_texts_in_bounded_memory(tok):
+    import resource
+
+    own = tokens.PrefixCounter(PATH)
+    rng = random.Random(7)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    piece = "".join(rng.choice("abcdefghij") for _ in range(5_000_000))  # one piece without a blank
+    parts = [part[-1] for part in own.parts(piece)]
+    assert parts[-1] == n(tok, piece)
+    spaced = " ".join("".join(rng.choice("abcdéfghij") for _ in range(rng.randint(1, 9))) for _ in range(500_000))
+    assert [part[-1] for part in own.parts(spaced)][-1] == n(tok, spaced)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 800 << 10
