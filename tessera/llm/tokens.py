@@ -208,10 +208,14 @@ class PrefixCounter:
         return self.memo[s]
 
     def _sum(self, pieces: list[str]) -> np.ndarray:
-        """Counts of the prefixes of known pieces that follow each other, from one character on."""
+        """Counts of the prefixes of pieces that follow each other, from one character on."""
         if not pieces:
             return np.zeros(0, np.int64)
-        own = list(map(self.memo.__getitem__, pieces))
+        try:
+            own = list(map(self.memo.__getitem__, pieces))
+        except KeyError:  # another text's pieces have taken their place
+            self.learn(dict.fromkeys(pieces), keep=True)
+            own = list(map(self.memo.__getitem__, pieces))
         sizes = np.fromiter(map(len, own), np.int64, len(own))
         joined = b"".join(own)
         if len(joined) == sizes.sum():
