@@ -2,44 +2,42 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, one machine), a temporary folder of
-    this process is set for it.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-#: Folders that ``stored`` has written in this process.
-_WRITTEN: list[str] = []
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    name = "__" + name
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back.
 
     This cuts lineage and survives lost executors: a later failure rereads the
-    files instead of running the whole plan again. The files stay, since
-    results read them; ``clear`` removes them.
+    files instead of running the whole plan again. Results read the files, so
+    they stay until ``clear`` is called or the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders that ``stored`` has written in this process.
+_WRITTEN: list[str] = []
+
+
 def clear(spark: SparkSession) -> None:
     """Remove what ``stored`` has written in this process; call it when all results are written elsewhere."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -90,3 +88,8 @@ def span_columns(findings: Column, kinds: list[str]) -> list[Column]:
     counts = [of(k).cast("long").alias(f"n_{k}") for k in kinds]
     sha = F.sha2(F.array_join(F.transform(base, text), ",").cast("binary"), 256)
     return [*counts, sha.alias("base_sha256"), F.array_join(F.transform(findings, text), ",").alias("spans")]
+
+
+def score_column(findings: Column) -> Column:
+    """``scores`` of all findings, in thousandths, in the order of ``spans``."""
+    return F.array_join(F.transform(findings, lambda x: F.round(x["score"] * 1000).cast("int").cast("string")), ",").alias("scores")

@@ -21,13 +21,20 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .common import stored
 
 RATE = 0.1
 #: Items with fewer bytes after folding have no error budget: they are found as whole words.
 MIN_BYTES = 40
 MAX_ITEM_BYTES = 32 << 20
+#: Parts of items whose bit patterns a worker keeps.
+PATTERNS = 1 << 16
 #: ASCII letters become lower case, other ASCII but digits becomes a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
@@ -96,7 +103,7 @@ class Matcher:
         self.items = items
         self.starts: list[list[int]] = []
         self.ladders: dict[int, list[list[tuple[int, int]]]] = {}
-        self.pattern: dict[tuple[int, int, int], Pattern] = {}
+        self.pattern: dict[bytes, Pattern] = {}
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (_, item) in enumerate(items):
             own = pieces(item, rate if len(item) >= MIN_BYTES else 0)
@@ -109,8 +116,12 @@ class Matcher:
             self.auto.add_word(piece, (len(piece), where))
         self.auto.make_automaton()
 
-    def _verify(self, t: bytes, k: int, i: int, at: int) -> int | None:
-        """Least distance of item k around piece i at a place of the text; None if over its budget."""
+    def _verify(self, t: bytes, k: int, i: int, at: int, known: dict[tuple[bytes, int], int]) -> int | None:
+        """Least distance of item k around piece i at a place of the text; None if over its budget.
+
+        ``known`` has the distances found around this place, for items that
+        begin with the same parts.
+        """
         starts, item = self.starts[k], self.items[k][1]
         n = len(starts) - 1
         zero = at - starts[i]  # where the item would start without edits
@@ -122,27 +133,36 @@ class Matcher:
         d = 0
         for a, b in self.ladders[n][i]:
             budget = b - a - 1
-            p = self.pattern.get((k, a, b))
-            if p is None:
-                p = self.pattern[k, a, b] = Pattern(item[starts[a] : starts[b]])
-            d, _ = p.best(t[max(0, zero + starts[a] - budget) : max(0, zero + starts[b] + budget)])
+            part, lo = item[starts[a] : starts[b]], zero + starts[a] - budget
+            d = known.get((part, lo))
+            if d is None:
+                p = self.pattern.get(part)
+                if p is None:
+                    if len(self.pattern) >= PATTERNS:
+                        self.pattern.clear()
+                    p = self.pattern[part] = Pattern(part)
+                d, _ = p.best(t[max(0, lo) : max(0, zero + starts[b] + budget)])
+                known[part, lo] = d
             if d > budget:
                 return None
         return d
 
-    def find(self, text: str | None) -> list[tuple[int, int]]:
-        """(item's number, least distance) of every item within its budget."""
+    def find(self, text: str | None, first: bool = False) -> list[tuple[int, int]]:
+        """(item's number, least distance) of every item within its budget; with ``first``, of one."""
         t = fold(text)
         if not t or not self.items:
             return []
         out: dict[int, int] = {}
         for end, (n, where) in self.auto.iter(t.decode("latin-1")):
+            known: dict[tuple[bytes, int], int] = {}
             for k, i in where:
                 if out.get(k) == 0:
                     continue
-                d = self._verify(t, k, i, end + 1 - n)
+                d = self._verify(t, k, i, end + 1 - n, known)
                 if d is not None:
                     out[k] = min(d, out.get(k, d))
+                    if first:
+                        return [(k, d)]
         return sorted(out.items())
 
 
@@ -171,13 +191,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
     or digit, is no item. An item under ``MIN_BYTES`` matches without edits,
     as whole words. An item that a text holds several times is one
     row with its least distance, and so are repeated items; a repeated document row repeats its matches.
+    Distances count bytes of the folded UTF-8, for budgets and edits alike.
     Other columns are ignored; an empty table on either side gives no rows.
     """
-    spark, out = docs.sparkSession, None
+    spark, out, before = docs.sparkSession, None, None
     kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType
     schema = f"doc_id {kinds[0]}, item_id {kinds[1].simpleString()}, distance int"
+    kind = to_arrow_type(kinds[1])
     for items in load_items(benchmark):
-        sent = spark.sparkContext.broadcast(items)
+        if before is not None:  # one slice at a time is broadcast
+            out = stored(out, "decontam-found")
+            before.destroy()
+        before = sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value, rate)
@@ -189,15 +214,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
                 if at:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(ids, kind), pa.array(far, pa.int32())], ["doc_id", "item_id", "distance"])
 
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        kind = to_arrow_type(kinds[1])
         part = docs.select("doc_id", "text").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item; all columns stay. Rows with a null id stay."""
-    hit = contaminated(docs, benchmark).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col("doc_id") == F.col("__hit"), "left_anti")
+    """The rows of ``docs`` that hold no item; all columns stay.
+
+    Each row is judged by its own text, whatever its id; a null or empty text
+    holds nothing. The texts stay where they are: no join, no shuffle.
+    """
+    spark, out, before = docs.sparkSession, docs, None
+    for items in load_items(benchmark):
+        if before is not None:
+            out = stored(out, "decontam-clean")
+            before.destroy()
+        before = sent = spark.sparkContext.broadcast(items)
+        out = out.where(_clean(sent)("text"))
+    return out
+
+
+def _clean(sent: Broadcast):
+    """Whether a text holds none of these items, as a function of a column."""
+
+    @arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        matcher = Matcher(sent.value)
+        for t in texts:
+            yield pa.array([not matcher.find(x.as_py(), first=True) for x in t], pa.bool_())
+
+    return clean

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
@@ -131,6 +131,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     Rows are judged in place, so their texts aren't shuffled.
     """
     _, per, n = plan(docs, id_col, text_col, source_col)
-    repeats = F.col("__whole") + (hash_of(id_col, text_col) < F.col("__cut")).cast("long")
-    both = docs.join(_small(per.drop("source_size", "target"), n), F.col(source_col).eqNullSafe(F.col("__source")))
+    own = [fresh(docs, x) for x in ("mixsource", "mixwhole", "mixcut")]
+    per = per.select(*[F.col(a).alias(b) for a, b in zip(("__source", "__whole", "__cut"), own)])
+    repeats = F.col(own[1]) + (hash_of(id_col, text_col) < F.col(own[2])).cast("long")
+    both = docs.join(_small(per, n), F.col(source_col).eqNullSafe(F.col(own[0])))
     return both.where(repeats > 0).select(*[docs[c] for c in docs.columns if c != "repeats"], repeats.cast("int").alias("repeats"))

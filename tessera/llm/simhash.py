@@ -10,10 +10,13 @@ Work stays linear in the number of distinct fingerprints:
 
 * equal fingerprints are folded before anything is indexed, so copies cost one
   row, whatever their number;
-* a variant with over ``DENSE`` fingerprints isn't compared pair by pair. Its
-  members are indexed again under two-wildcard keys of all 64 bits. All that
-  share such a key are within two bits of each other, so a star from the
-  smallest member links them exactly, without pairs.
+* a variant with over ``DENSE`` fingerprints is split by the other segment: two
+  bits at most differ there, so of its three thirds one at least is equal, and
+  only members with an equal third are compared;
+* where over ``DENSE`` share a variant and a third, they are indexed again
+  under two-wildcard keys of all 64 bits. All that share such a key are within
+  two bits of each other, so a chain through them links them exactly, without
+  pairs.
 """
 
 from __future__ import annotations
@@ -25,18 +28,23 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from .common import stored
+from .common import fresh, stored
 
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 2
-#: Members of a variant up to which pairs are compared directly.
+#: Members of a variant, or of one of its thirds, up to which pairs are compared directly.
 DENSE = 64
+#: The first bits of a segment's thirds, and the bits of each.
+THIRDS = ((0, 11), (11, 11), (22, 10))
 #: Shingles that are counted at a time, which bounds memory on long texts.
 BLOCK = 1 << 16
 _LANES = np.uint64(0x0101010101010101)
 _EDGE = "a long, b long"
+#: A link, or with a key a member of a dense run.
+_MET = "a long, b long, key long"
 
 
 def fingerprint(text: str | None) -> int:
@@ -139,7 +147,7 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[np.
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links inside small variants; members of dense ones come as (fp, fp)."""
+    """Links inside small runs of equal keys; members of dense ones as (fp, fp, key)."""
     for key, fp, goes_on in _runs(batches, 2):
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
@@ -148,7 +156,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dense[0] = True
         run = np.repeat(np.arange(len(starts)), sizes)
         u = fp.view(np.uint64)
-        left, right = [fp[dense[run]]], [fp[dense[run]]]
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         small = np.where(dense, 1, sizes)
         for step in range(1, int(small.max(initial=1))):
             i = np.flatnonzero((run[:-step] == run[step:]) & ~dense[run[:-step]])
@@ -160,7 +168,22 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = np.concatenate(left), np.concatenate(right)
         if len(a):
             a, b = np.unique(np.stack([a, b]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
+        many = dense[run]
+        if many.any():
+            yield pa.RecordBatch.from_arrays([pa.array(fp[many]), pa.array(fp[many]), pa.array(key[many])], ["a", "b", "key"])
+
+
+def _thirds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, fingerprint) of dense variants' members, a row for each third of the segment that isn't the variant's."""
+    for batch in batches:
+        key, fp = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(2))
+        low = key >> np.uint64(32) < np.uint64(32)  # the variant is of the low segment
+        other = np.where(low, fp >> np.uint64(32), fp & np.uint64(0xFFFFFFFF))
+        for number, (first, bits) in enumerate(THIRDS):
+            third = (other >> np.uint64(first)) & np.uint64((1 << bits) - 1)
+            fine = key | np.uint64(number << 38) | third << np.uint64(40)
+            yield pa.RecordBatch.from_arrays([pa.array(fine.view(np.int64)), pa.array(fp.view(np.int64))], ["key", "fp"])
 
 
 def _dense_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,21 +215,18 @@ def links(distinct: DataFrame) -> DataFrame:
     ``distinct`` has one column of distinct fingerprints. The links of dense
     variants are chains, which connect the same fingerprints with fewer rows.
     """
-    met = (
-        distinct.mapInArrow(_index, "key long, fp long")
-        .repartition("key")
-        .sortWithinPartitions("key", "fp")
-        .mapInArrow(_pairs, _EDGE)
-    )
-    met = stored(met, "simhash-met")
-    dense = met.where("a = b").select("a").distinct()
+    meet = lambda keyed: keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_pairs, _MET)
+    met = stored(meet(distinct.mapInArrow(_index, "key long, fp long")), "simhash-met")
+    dense = met.where("key is not null").select("key", F.col("a").alias("fp"))
+    fine = stored(meet(dense.mapInArrow(_thirds, "key long, fp long")), "simhash-thirds")
     chains = (
-        dense.mapInArrow(_dense_index, "key long, place short, fp long")
+        fine.where("key is not null").select("a").distinct().mapInArrow(_dense_index, "key long, place short, fp long")
         .repartition("key", "place")
         .sortWithinPartitions("key", "place", "fp")
         .mapInArrow(_stars, _EDGE)
-    )
-    return met.where("a <> b").unionByName(chains).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    )
+    near = met.where("key is null").select("a", "b").unionByName(fine.where("key is null").select("a", "b"))
+    return near.unionByName(chains).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
@@ -258,10 +278,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is its component's smallest; all columns stay.
+    """One row of each component of ``docs``; all columns stay.
 
-    Rows that repeat an id are one document and stay together; rows with a null id stay.
+    The row with the smallest id stays, of rows with one id any one; ids that
+    are null come last. Rows are judged, not ids: a text that shares an id with
+    another one is judged by itself. Texts without words, nulls included, are
+    one component. An empty table gives no rows.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    go = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(go, F.col(id_col) == F.col("__gone"), "left_anti")
+
+    @arrow_udf("long")
+    def mark(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for t in texts:
+            yield pa.array(np.array([fingerprint(x.as_py()) for x in t], dtype=np.uint64).view(np.int64))
+
+    row, fp = fresh(docs, "row"), fresh(docs, "fp")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(fp, mark(text_col)), "simhash-rows")
+    one = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    classes = stored(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(one).alias("one")), "simhash-classes")
+    comp = components(links(classes.select("fp")))
+    first = classes.join(comp, classes["fp"] == comp["node"], "left").groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("one").alias("one"))
+    stay = stored(first.select(F.col("one.row").alias("stay")), "simhash-stay")
+    return rows.join(stay, F.col(row) == F.col("stay"), "left_semi").select(*docs.columns)

@@ -59,8 +59,29 @@ def test_slices_give_the_same(spark, monkeypatch):
     items, docs = cases()
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     whole = sorted(map(tuple, decontam.contaminated(d, b).collect()))
+    clean = sorted(r.doc_id for r in decontam.drop_contaminated(d, b).collect())
+    assert clean == sorted({i for i, _ in docs} - {i for i, _, _ in whole})
     monkeypatch.setattr(decontam, "MAX_ITEM_BYTES", 500)
+    monkeypatch.setattr(decontam, "PATTERNS", 3)
     assert sorted(map(tuple, decontam.contaminated(d, b).collect())) == whole
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(d, b).collect()) == clean
+
+
+def test_rows_are_judged_by_their_text(spark):
+    item = " ".join(WORDS)
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    d = spark.createDataFrame([(1, item, "a"), (1, "clean words", "b"), (None, "more clean words", "c"), (None, f"so {item}", "d")], "doc_id long, text string, item_id string")
+    assert sorted(r.item_id for r in decontam.drop_contaminated(d, b).collect()) == ["b", "c"]
+
+
+def test_items_that_share_their_beginning(spark):
+    start = " ".join(WORDS * 2)
+    b = spark.createDataFrame([(i, f"{start} number {i} of them all") for i in range(300)], "item_id long, text string")
+    d = spark.createDataFrame([(1, f"x {start} number 17 of them all y")], "doc_id long, text string")
+    got = {(r.item_id, r.distance) for r in decontam.contaminated(d, b).collect()}
+    t = decontam.fold(d.first().text)
+    want = {(i, decontam.Pattern(f).best(t)[0]) for i in range(300) for f in [decontam.fold(f"{start} number {i} of them all")]}
+    assert got == {(i, k) for i, k in want if k <= int(len(decontam.fold(f"{start} number {i} of them all")) * decontam.RATE)} and (17, 0) in got
 
 
 def test_edges(spark):
@@ -70,7 +91,7 @@ def test_edges(spark):
     out = sorted(((r.doc_id, r.item_id) for r in decontam.contaminated(d, b).collect()), key=str)
     assert out == [(3, 1)] * 2 + [(None, 1)]
     kept = decontam.drop_contaminated(d, b)
-    assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "4", "None"]
+    assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "4"]  # the row without id holds the item
     assert decontam.contaminated(d, b.limit(0)).count() == decontam.contaminated(d.limit(0), b).count() == 0
 
 

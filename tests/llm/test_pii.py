@@ -51,14 +51,67 @@ def test_long_runs_end(spark):
 
 
 def test_held_out_candidates(spark):
-    trees = pii.model(spark)
     rows = pii.labelled(600, 77)
     df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "doc_id int, text string")
     found = {r.doc_id: r.findings for r in pii.find_personal_data(df).collect()}
-    hit = [any(f.start < r[3] and r[2] < f.end for f in found[i]) for i, r in enumerate(rows)]
+    hit = np.array([any(f.start < r[3] and r[2] < f.end for f in found[i]) for i, r in enumerate(rows)])
     good = np.array([r[4] for r in rows])
-    hit = np.array(hit)
-    assert hit[good].mean() > 0.75 and hit[~good].mean() < 0.08, (hit[good].mean(), hit[~good].mean(), trees.threshold)
+    assert hit[good].mean() > 0.9 and hit[~good].mean() < 0.08, (hit[good].mean(), hit[~good].mean())
+
+
+#: Spellings that were written by hand, apart from the generator that trains the trees: # is any digit, @@ a card number's last digit.
+PERSONAL = [
+    "Questions? Write to jane.doe [at] example [dot] com today", "contact: maria_k (at) uni-bonn.de please", "his e-mail was tom at mailbox dot org back then", "mail bob@ home.net for keys",
+    "send it to a.lee{at}corp{dot}co.uk or wait", "Kontakt: info (AT) firma (DOT) de", "you reach me under k9 at posteo dot net", "courriel: luc [at] free [dot] fr", "mail to x.y-z at sub.domain dot org", "e-mail sam @ school.edu soon",
+    "call (###) ###-#### after six", "Tel. 0## / #### ### daily", "phone ###-###-#### only", "fax: ###.###.####", "mobile 07## ######", "dial 00## ### ### ###", "Telefon 0###-#######", "tel 0# ## ## ## ##", "ring me: (0##) ### ## ##", "my cell (###)###-####",
+    "server 2001:0db8:85a3:0000:0000:8a2e:0370:7334 answered", "host fe80:1:2:3:a:b:c:d is up", "IP 2001:db8:1:2::1 was seen", "gateway 2607:f8b0:4005:805::200e now",
+    "card 4###.####.####.###@@ expired", "Visa 4###/####/####/###@@ declined", "credit card 5###_####_####_###@@ kept", "cc: 4###:####:####:###@@ on file", "card 5### #### #### ###@@ again", "debit 4###-####-####-###@@ used",
+]
+HARMLESS = [
+    "born on 2024-05-06 in town", "ISBN 978-3-16-148410-0 sold out", "version 10.2.33 of the tool", "order 2023-11-0###### arrived", "pages 120-125 and 300-315", "at 12:30:45 sharp", "ratio 12:30:45:10 in all", "from 1914-1918 and 1939-1945", "room 12 34 56 on the left", "part 12345-67890 fits",
+    "we met at noon. They left", "look at this.value first", "stay at home dot the end is", "the sum 12 345 678 was right", "1 000 000 people came", "score 3.1415.9265 odd", "mac 00:1a:2b:3c:4d:5e seen", "invoice 2020/123456 paid", "lot 4400.1122 of 9", "tracking 9400 1000 0000 0000 0000 00 posted",
+    "years 2001 2002 2003 2004", "build 20240506.1234 failed", "serial 123-45-678901234 worn", "code 12.34.56.78.90 entered", "case 12-cv-3456 closed", "range 100-200 or 2000-3000", "at 10.30 in 12.45 out", "page 12 of 345", "time 01:02:03 left", "size 10 20 30 40 cm",
+]
+
+
+def filled(text, rng):
+    digits = [rng.choice("123456789") if i == 0 or rng.random() < 0.9 else "0" for i in range(text.count("#"))]
+    out = "".join(digits.pop() if c == "#" else c for c in text)
+    if "@@" in out:
+        body = [int(c) for c in re.sub("[^0-9]", "", out)]
+        out = out.replace("@@", str(-sum(d if i % 2 else (d * 2 - 9 if d > 4 else d * 2) for i, d in enumerate(body)) % 10))
+    return out
+
+
+def test_spellings_written_by_hand(spark):
+    rng = random.Random(8)
+    rows = [(k, filled(t, rng)) for good, ts in ((1, PERSONAL), (0, HARMLESS)) for t in ts for k in [good] for _ in range(5)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id int, text string")
+    found = {r.doc_id: r.findings for r in pii.find_personal_data(df).collect()}
+    hit = [sum(bool(found[i]) for i, (good, _) in enumerate(rows) if good == k) for k in (1, 0)]
+    recall, precision = hit[0] / (5 * len(PERSONAL)), hit[0] / sum(hit)
+    missed = sorted({t for i, (good, t) in enumerate(rows) if good and not found[i]} | {"!" + t for i, (good, t) in enumerate(rows) if not good and found[i]})
+    print("recall", recall, "precision", precision, missed)
+    assert recall >= 0.9 and precision >= 0.9
+
+
+def test_work_is_linear_and_overlaps_are_settled(spark):
+    import time
+
+    pii.model(spark)
+    times = []
+    for n in (20_000, 20_000, 40_000):  # the first run warms up
+        df = spark.createDataFrame([(1, " ".join(f"a{i}@b.org" for i in range(n)))], "doc_id int, text string")
+        t = time.time()
+        assert pii.personal_digests(df).first().n_email == n
+        assert pii.redacted(df).first().text == " ".join(["[email]"] * n)
+        times.append(time.time() - t)
+    assert times[2] < 3 * times[1] + 2
+    t = "tel (310) 555-4510 or card 4465.7583.8288.9437, mail +1 (310) 555-4510"
+    got = pii.find_personal_data(spark.createDataFrame([(1, t)], "doc_id int, text string")).first().findings
+    spans = [(f.start, f.end) for f in got]
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) and {f.kind for f in got} == {"phone", "card"}
+    assert all(0 <= f.score <= 1 for f in got)
 
 
 def test_rows_and_redaction(spark):

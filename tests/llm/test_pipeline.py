@@ -10,10 +10,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def test_stages_against_plain_forms(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = docs.collect()
-    model = langid.train(docs)
+    (model,) = [langid.floors(docs, m) for m in langid.train(docs)]
     one = cp.stored(cp.language_id(spark, docs, SF), "t1")
     assert one.columns == COLUMNS
-    want = {r.doc_id for r in before if (lambda p: p[0] != "und" and p[1] >= cp.LEAST_SCORE)(langid.score(r.text, *model))}
+    want = {r.doc_id for r, x in zip(before, langid.best([r.text for r in before], model)) if x["n"] and x["total"] / x["n"] >= model.least[model.langs.index(x["lang"])]}
     assert {r.doc_id for r in one.collect()} == want
 
     from test_simhash import slow_components, slow_fp
@@ -41,6 +41,22 @@ def test_stages_against_plain_forms(spark):
     assert {r.doc_id: r.repeats * size[r.doc_id] for r in five.collect() if size[r.doc_id]} == {i: n for i, n in taken.items() if n}
 
 
+def test_repeated_long_and_clashing_rows(spark):
+    long = " ".join(f"the{i % 977} house" for i in range(60_000))
+    rows = [(1, "the house and the garden", "en", "a", 0), (1, "the house and the garden", "en", "a", 0), (1, "the other house and the other garden", "en", "a", 0), (2, long, "en", "b", 0), (3, long, "en", "b", 0), (4, "Быстрая коричневая лиса", None, "b", 0)]
+    names = ["__lang", "__score", "__row", "__fp", "__found", "__source", "__whole", "__cut", "repeats"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in names:
+        docs = docs.withColumn(c, docs.doc_id)
+    out = docs
+    for name, stage in cp.STAGES[:-1]:
+        out = cp.stored(stage(spark, out, SF), "t")
+        assert out.columns == docs.columns, name
+    assert sorted((r.doc_id, len(r.text)) for r in out.collect()) == sorted([(1, 24), (1, 36), (2, len(long))])
+    assert all(r[c] == r.doc_id for r in out.collect() for c in names)
+    assert cp.STAGES[-1][1](spark, out, SF).columns == [c for c in docs.columns if c != "repeats"] + ["repeats"]
+
+
 def test_empty_and_null_rows(spark):
     docs = spark.createDataFrame([(1, None, None, None, None, "x"), (2, "", "en", "a", 0, "x"), (None, "some words", "en", "a", 10, None)], "doc_id long, text string, lang string, source string, n_chars long, h string")
     for rows in (docs, docs.limit(0)):

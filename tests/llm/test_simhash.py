@@ -78,10 +78,38 @@ def test_rows_nulls_copies_and_clashing_columns(spark):
     assert comp == {5: 3, 3: 3, 9: 7, 7: 7, 8: 8}
     assert {r.fingerprint for r in out if r.doc_id in (7, 9)} == {"0" * 16}
     kept = simhash.keep_first(df)
-    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [3, 7, 8, 8]
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [3, 7, 8]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "x"), (1, b, "y"), (2, a, "x"), (2, b, "z"), (None, c, "n"), (None, c, "m"), (None, a, "k"), (3, "", "e"), (None, None, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row string")
+    kept = simhash.keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("1", a), ("1", b), ("None", c), ("3", "")])
+
+
+def test_dense_variants_are_split(spark, monkeypatch):
+    rng = random.Random(12)
+    centre = rng.getrandbits(64)
+    fps = {centre ^ (rng.getrandbits(11) << 40) for _ in range(120)} | {centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(150)} | {rng.getrandbits(64) for _ in range(50)}
+    fps = sorted(fps)
+    want = slow_components(dict(enumerate(fps)))
+    groups = {}
+    for i, f in enumerate(fps):
+        groups.setdefault(want[i], set()).add(f)
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    for dense in (2, 16):
+        monkeypatch.setattr(simhash, "DENSE", dense)
+        got = {r.node & (2**64 - 1): r.label & (2**64 - 1) for r in simhash.components(simhash.links(df)).collect()}
+        mine = {}
+        for f in fps:
+            mine.setdefault(got.get(f, f), set()).add(f)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
+
+
 def test_against_brute_force_on_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
