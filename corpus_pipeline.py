@@ -8,38 +8,42 @@ return the columns that they got.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, langid, mixing, pii, simhash
-from tessera.llm.common import stored, table
-
-#: Documents whose language has a lower posterior are rejected, with those without any letter and those that fit no learned language.
-LEAST_SCORE = 0.3
+from tessera.llm.common import fresh, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in which a language is recognised."""
-    model = langid.train(docs)
-    if not model[0]:  # no labelled row: nothing can be told, nothing is rejected but texts without letters
+    """Keep documents in which a learned language is recognised.
+
+    Texts without letters, nulls included, go, and so do those that fit no
+    learned language (``langid.floors``). If no row has a language, nothing can
+    be told and only texts without letters go. Repeated rows are judged alike.
+    """
+    models = (langid.floors(docs, m) for m in langid.train(docs))
+    first = next(models, None)
+    if first is None:
         return docs.where(F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"\p{L}")))
-    found = langid.identify(docs, model, list(docs.columns), ("__lang", "__score"), langid.floors(docs, model))
-    return found.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = fresh(docs, "lang"), fresh(docs, "score")
+    return langid.identify(docs, chain([first], models), (lang, score)).where(F.col(lang) != "und").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each component."""
+    """Keep one document of each component, the one with the smallest id; a row is a document."""
     return simhash.keep_first(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
+    """Drop documents that hold a benchmark item; null and empty texts hold none."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by its kind, and bring ``n_chars`` up to date."""
+    """Replace personal data by its kind, and bring ``n_chars`` up to date; null texts keep theirs."""
     out = pii.redacted(docs)
     if "n_chars" not in docs.columns:
         return out
@@ -48,7 +52,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the mix takes, with how often it takes them."""
+    """Keep the documents that the mix takes, with how often it takes them in ``repeats``, in place of a column of that name."""
     return mixing.mixed(docs)
 
 
