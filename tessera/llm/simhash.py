@@ -298,4 +298,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     comp = components(links(classes.select("fp")))
     first = classes.join(comp, classes["fp"] == comp["node"], "left").groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("one").alias("one"))
     stay = stored(first.select(F.col("one.row").alias("stay")), "simhash-stay")
-    return rows.join(stay, F.col(row) == F.col("stay"), "left_semi").select(*docs.columns)
+    # row numbers spread evenly; a table of them is never broadcast, however small
+    return rows.join(stay.hint("shuffle_hash"), F.col(row) == F.col("stay"), "left_semi").select(*docs.columns)
