@@ -12,7 +12,6 @@ time span of every block, in one Arrow stream.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +30,8 @@ BLOCK_FRAMES = 32
 OPEN, CLOSE = -9.0, -15.0
 #: Output samples or frames that are worked on at a time, which bounds memory.
 CHUNK = 1 << 16
+#: Media values whose features are handed over together.
+ROWS = 512
 
 
 def payload_of(text: Column | str) -> Column:
@@ -74,17 +75,22 @@ def _phases() -> np.ndarray:
 
 
 def resample(x: np.ndarray) -> Iterator[np.ndarray]:
-    """x at UP / DOWN times its rate, chunk by chunk: one short filter for each output phase."""
+    """x at UP / DOWN times its rate, chunk by chunk: one short filter for each output phase.
+
+    Unsigned bytes are samples around 128. A chunk's input alone becomes floats.
+    """
     n = len(x) * UP // DOWN
     h = _phases()
-    padded = np.concatenate([np.zeros(TAPS - 1), x])
-    windows = np.lib.stride_tricks.sliding_window_view(padded, TAPS)
     for lo in range(0, n, CHUNK * UP):
         hi = min(n, lo + CHUNK * UP)
+        a, b = lo * DOWN // UP - (TAPS - 1), (hi - 1) * DOWN // UP + 1  # the input that is looked at; zeros stand before it
+        part = x[max(0, a) : b]
+        part = part / 128.0 - 1 if part.dtype == np.uint8 else part
+        windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(max(0, -a)), part]), TAPS)
         out = np.empty(hi - lo)
         for m in range(min(UP, hi - lo)):
             j = lo + m
-            first, phase = j * DOWN // UP, j * DOWN % UP
+            first, phase = j * DOWN // UP - lo * DOWN // UP, j * DOWN % UP
             count = (hi - lo - m + UP - 1) // UP
             out[m::UP] = windows[first : first + (count - 1) * DOWN + 1 : DOWN] @ h[phase]
         yield out
@@ -101,21 +107,30 @@ def _mel() -> np.ndarray:
 
 
 def log_mel(samples: np.ndarray) -> np.ndarray:
-    """Log-mel energies in decibels, frames x MELS; at least one frame."""
-    x = samples / 128.0 - 1
-    y = np.concatenate(list(resample(x)))
-    if len(y) < FRAME:
-        y = np.concatenate([y, np.zeros(FRAME - len(y))])
-    frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
+    """Log-mel energies in decibels, frames x MELS; at least one frame. Beside the result, memory is that of a chunk."""
+    n = max(1, (len(samples) * UP // DOWN - FRAME) // HOP + 1)
+    out, done, held = np.empty((n, MELS), np.float32), 0, np.zeros(0)
     window = np.hanning(FRAME)
-    out = np.empty((len(frames), MELS), np.float32)
-    for lo in range(0, len(frames), CHUNK // HOP):
-        spectrum = np.fft.rfft(frames[lo : lo + CHUNK // HOP] * window, axis=1)
-        power = spectrum.real**2 + spectrum.imag**2
-        out[lo : lo + CHUNK // HOP] = 10 * np.log10(power @ _mel() + 1e-6)
+    for chunk in resample(samples):
+        held = np.concatenate([held, chunk])
+        if len(held) < FRAME:
+            continue
+        frames = np.lib.stride_tricks.sliding_window_view(held, FRAME)[::HOP]
+        for lo in range(0, len(frames), CHUNK // HOP):
+            own = _energies(frames[lo : lo + CHUNK // HOP] * window)
+            out[done : done + len(own)] = own
+            done += len(own)
+        held = held[len(frames) * HOP :]
+    if not done:
+        out[:] = _energies(np.concatenate([held, np.zeros(FRAME - len(held))])[None] * window)
     return out
 
 
+def _energies(frames: np.ndarray) -> np.ndarray:
+    spectrum = np.fft.rfft(frames, axis=1)
+    return 10 * np.log10((spectrum.real**2 + spectrum.imag**2) @ _mel() + 1e-6)
+
+
 def segments(energies: np.ndarray) -> list[tuple[int, int]]:
     """Frame ranges (end exclusive) of loud stretches, with hysteresis.
 
@@ -152,12 +167,11 @@ def tensor_stream(energies: np.ndarray) -> bytes:
 
 
 def feature_text(energies: np.ndarray) -> str:
-    """Frames, segments, mean energies and a hash of the tensors, of one media value."""
+    """Frames, blocks, segments and mean energies of one media value."""
     found = segments(energies)
     spans = ",".join(f"{a * HOP / TARGET:.3f}-{((b - 1) * HOP + FRAME) / TARGET:.3f}" for a, b in found)
     means = ",".join(f"{m:.1f}" for m in energies.mean(axis=0, dtype=np.float64))
-    digest = hashlib.sha256(np.rint(blocks(energies)).astype(np.int16).tobytes()).hexdigest()[:16]
-    return f"frames={len(energies)};blocks={-(-len(energies) // BLOCK_FRAMES)}x{BLOCK_FRAMES}x{MELS};spans={spans};mel={means};tensor={digest}"
+    return f"frames={len(energies)};blocks={-(-len(energies) // BLOCK_FRAMES)}x{BLOCK_FRAMES}x{MELS};spans={spans};mel={means}"
 
 
 def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,43 +180,45 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, n.cast("long").alias("n_bytes"), wav_of(payload_of(text_col)).alias("media"))
 
 
-def audio_features(media: DataFrame, with_tensors: bool = True) -> DataFrame:
-    """The columns of ``media`` with ``feature`` and, if asked for, ``tensors``.
+def audio_features(media: DataFrame) -> DataFrame:
+    """The columns of ``media`` with ``feature`` and ``tensors`` behind them.
 
     ``media`` has a binary column ``media``; each value is worked on by itself,
-    so equal values give equal features. Null media gives nulls.
+    so equal values give equal features. ``tensors`` is the Arrow stream of the
+    log-mel blocks with their time spans (``tensor_stream``). Null media gives nulls.
+    Columns of these names are replaced.
     """
     names = [c for c in media.columns if c not in ("feature", "tensors")]
     at = names.index("media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, tensors = [], []
-            for m in batch.column(at):
-                raw = m.as_py()
-                e = None if raw is None else log_mel(read_wav(raw))
-                text.append(None if e is None else feature_text(e))
-                if with_tensors:
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                text, tensors = [], []
+                for m in part.column(at):
+                    raw = m.as_py()
+                    e = None if raw is None else log_mel(read_wav(raw))
+                    text.append(None if e is None else feature_text(e))
                     tensors.append(None if e is None else tensor_stream(e))
-            more = [pa.array(tensors, pa.binary())] if with_tensors else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string()), *more], [*names, "feature", *["tensors"][: len(more)]])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string()), pa.array(tensors, pa.binary())], [*names, "feature", "tensors"])
 
     own = media.select(*names)
-    schema = own.select(*names).schema.add("feature", "string")
-    return own.mapInArrow(run, schema.add("tensors", "binary") if with_tensors else schema)
+    return own.mapInArrow(run, own.select(*names).schema.add("feature", "string").add("tensors", "binary"))
 
 
 def audio_digests(docs: DataFrame) -> DataFrame:
     """Sizes, hashes and features of every text's stored media.
 
-    Null texts are empty: a payload of 64 zeros. Repeated rows give repeated
-    rows, an empty table none; other columns are ignored. The payload's hashes
-    are taken from the stored bytes behind the header.
+    Null texts are empty: a payload of 64 zeros. Null ids stay. Repeated rows
+    give repeated rows, an empty table none; other columns are ignored. The payload's hashes
+    are taken from the stored bytes behind the header, and ``feature`` ends with the hash of
+    the Arrow stream of tensors.
     """
-    media = encode_media(docs)
-    back = F.substring("media", HEADER + 1, 1 << 30)
-    out = audio_features(media, with_tensors=False)
-    return out.select(
-        "doc_id", "n_bytes", (F.octet_length("media") - HEADER).cast("long").alias("payload_bytes"), F.sha2(back, 256).alias("payload_sha256"),
-        F.crc32(F.substring("media", -PAD, PAD)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    size = F.octet_length("media")
+    back = F.substring("media", HEADER + 1, size)
+    return audio_features(encode_media(docs)).select(
+        "doc_id", "n_bytes", (size - HEADER).cast("long").alias("payload_bytes"), F.sha2(back, 256).alias("payload_sha256"),
+        F.crc32(F.substring("media", -PAD, PAD)).alias("tail_crc32"), size.cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.concat("feature", F.lit(";tensors="), F.sha2("tensors", 256)).alias("feature"), F.octet_length("tensors").cast("long").alias("tensor_bytes"),
     )

@@ -59,3 +59,44 @@ def test_tensors(spark):
     e = audio.log_mel(np.frombuffer(payload("words and more words " * 2000), np.uint8))
     assert np.allclose(col.to_numpy_ndarray().reshape(-1, audio.MELS)[: len(e)], e, atol=1e-3)
     assert table.column("start_s").to_pylist()[0] == 0 and table.column("end_s").to_pylist()[-1] <= 42_048 / audio.RATE
+
+
+def test_log_mel_against_the_plain_sums(monkeypatch):
+    rng = np.random.default_rng(1)
+    samples = rng.integers(0, 256, 2_000).astype(np.uint8)
+    y = np.concatenate(list(audio.resample(samples / 128.0 - 1)))
+    frames = [y[i : i + audio.FRAME] for i in range(0, len(y) - audio.FRAME + 1, audio.HOP)]
+    k, t = np.arange(audio.FRAME // 2 + 1)[:, None], np.arange(audio.FRAME)
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * t / (audio.FRAME - 1))
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    want = []
+    for f in frames:
+        power = np.abs((np.exp(-2j * np.pi * k * t / audio.FRAME) * (f * hann)).sum(axis=1)) ** 2
+        edges = np.linspace(mel(50.0), mel(audio.TARGET / 2), audio.MELS + 2)
+        hz = 700 * (10 ** (edges / 2595) - 1)
+        row = []
+        for i in range(audio.MELS):
+            e = sum(p * max(0, min((q - hz[i]) / (hz[i + 1] - hz[i]), (hz[i + 2] - q) / (hz[i + 2] - hz[i + 1]))) for p, q in zip(power, k[:, 0] * audio.TARGET / audio.FRAME))
+            row.append(10 * np.log10(e + 1e-6))
+        want.append(row)
+    got = audio.log_mel(samples)
+    assert got.shape == (len(want), audio.MELS) and np.allclose(got, want, atol=1e-3)
+    for chunk in (128, 256, 700):
+        monkeypatch.setattr(audio, "CHUNK", chunk)
+        assert np.allclose(audio.log_mel(samples), want, atol=1e-3)
+
+
+def test_null_media_long_texts_and_the_stored_stream(spark):
+    import hashlib
+
+    media = spark.createDataFrame([(1, None, "a")], "doc_id long, media binary, feature string")
+    out = audio.audio_features(media)
+    assert out.columns == ["doc_id", "media", "feature", "tensors"] and tuple(out.first())[1:] == (None, None, None)
+    long = "no word of it twice " * 100_000
+    df = spark.createDataFrame([(1, long), (None, long), (2, "")], "doc_id long, text string")
+    rows = audio.audio_digests(df).collect()
+    assert rows[0].feature == rows[1].feature and rows[1].doc_id is None
+    for r, t in zip(audio.audio_features(audio.encode_media(df)).collect(), rows):
+        assert t.feature.endswith(hashlib.sha256(bytes(r.tensors)).hexdigest()) and t.tensor_bytes == len(r.tensors)
+        table = pa.ipc.open_stream(bytes(r.tensors)).read_all()
+        assert all(a < b for a, b in zip(table.column("start_s").to_pylist(), table.column("end_s").to_pylist()))
