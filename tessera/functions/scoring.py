@@ -76,3 +76,32 @@ def backoff_seconds(attempt: Column, most: int = 60) -> Column:
     """min(2 ** min(attempt - 1, 6), most), without jitter."""
     steps = F.least(F.greatest(attempt - 1, F.lit(0)), F.lit(6))
     return F.least(F.pow(F.lit(2), steps).cast("long"), F.lit(most).cast("long"))
+
+
+def embedding_from_json(text: Column) -> Column:
+    """The vector in a model's reply, under ``embedding`` or the first of ``data``; null if it is empty or not all finite numbers."""
+    v = F.try_parse_json(text)
+    own = F.coalesce(F.try_variant_get(v, "$.embedding", "array<double>"), F.try_variant_get(v, "$.data[0].embedding", "array<double>"))
+    bad = F.exists(own, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.when((F.size(own) > 0) & ~bad, F.transform(own, lambda x: x.cast("float")))
+
+
+def content_from_json(text: Column) -> Column:
+    """The answer in a model's reply: message.content, the first choice's, or response."""
+    v = F.try_parse_json(text)
+    paths = ("$.message.content", "$.choices[0].message.content", "$.response")
+    is_text = lambda p: F.schema_of_variant(F.try_variant_get(v, p, "variant")) == "STRING"
+    return F.coalesce(*[F.when(is_text(p), F.try_variant_get(v, p, "string")) for p in paths])
+
+
+def json_fragment(text: Column) -> Column:
+    """What lies between the first opening and the last closing bracket or brace; null without both."""
+    found = F.regexp_extract(text, r"(?s)^[^{\[]*([{\[].*[}\]])[^}\]]*$", 1)
+    return F.nullif(found, F.lit(""))
+
+
+def whole_number(text: Column) -> Column:
+    """A JSON number as a count from 0 to 2^32 - 1, rounded; null for anything else."""
+    v = F.try_variant_get(F.try_parse_json(text), "$", "double")
+    number = F.trim(text).rlike(r"^-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$")
+    return F.when(number, F.least(F.greatest(F.round(v), F.lit(0.0)), F.lit(4294967295.0)).cast("long"))

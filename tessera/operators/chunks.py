@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Start and factor of the 64-bit text hash. Fixed values.
 HASH_START, HASH_FACTOR = 0xCBF29CE484222325, 0x1000000001B3
+#: Documents of a category.
+SHARDS = 64
 #: Key prefixes by memory category; profile has one key, others are patterns. Fixed values.
 KEY_PREFIX = {"preferences": "pref", "entities": "entity", "events": "event", "cases": "case"}
 #: Names that stand for a category. Fixed values.
@@ -50,7 +52,7 @@ def confidence_of(value: Column) -> Column:
     """Thousandths from a share or a number of thousandths; 700 where there is none."""
     v = value.try_cast("double")
     scaled = F.when(v <= 1, v * 1000).otherwise(v)
-    return F.coalesce(F.round(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1000.0))).cast("int"), F.lit(700))
+    return F.when(v.isNull() | F.isnan(v), 700).otherwise(F.round(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1000.0))).cast("int"))
 
 
 def continuation_confidence(task: Column, error: Column, observed: Column) -> Column:
@@ -125,11 +127,16 @@ def parse_entries(content: str) -> list[tuple[str, list[tuple[str, str]]]]:
 
 
 def render_entries(memories: DataFrame) -> DataFrame:
-    """A memory document for each category from ``category, text, session_id, id``, texts and sources sorted."""
+    """Memory documents from ``category, text, session_id, id``, texts and sources sorted within each.
+
+    A category is written as ``SHARDS`` documents, by the hash of the text, so
+    that no document grows with a category's share of all memories alone.
+    """
     source = F.concat(F.lit("  - source: session "), F.col("session_id").cast("string"), F.lit(" message "), F.col("id"))
-    entry = memories.groupBy("category", "text").agg(F.array_join(F.array_sort(F.collect_set(source)), "\n").alias("s"))
+    shard = F.pmod(F.xxhash64("text"), F.lit(SHARDS)).cast("int").alias("shard")
+    entry = memories.groupBy("category", shard, "text").agg(F.array_join(F.array_sort(F.collect_set(source)), "\n").alias("s"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("text", "s"))), lambda x: F.concat(F.lit("- "), x["text"], F.lit("\n"), x["s"]))
-    return entry.groupBy("category").agg(F.array_join(lines, "\n").alias("document"))
+    return entry.groupBy("category", "shard").agg(F.array_join(lines, "\n").alias("document"))
 
 
 def parse_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

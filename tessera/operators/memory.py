@@ -109,25 +109,6 @@ def apply_reflection(entries: DataFrame, reflections: DataFrame) -> DataFrame:
     return old.unionByName(new)
 
 
-def continuation_fold(updates: DataFrame, key: str = "session_id") -> DataFrame:
-    """Confidence-gated continuation state: later updates win from 500 on, 700 to replace a stronger one.
-
-    Each key's updates are folded in time order by one function on its rows.
-    """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        task, confidence, applied = None, 0, 0
-        for row in pdf.sort_values(["created_at", "id"]).itertuples():
-            if row.confidence < 500 or not row.task:
-                continue
-            if task is None or row.confidence >= min(700, confidence):
-                task, confidence, applied = row.task, max(int(row.confidence), confidence if task == row.task else 0), applied + 1
-        return pd.DataFrame([{key: pdf[key].iloc[0], "task": task, "confidence": confidence, "applied": applied}])
-
-    kind = updates.schema[key].dataType.simpleString()
-    return updates.groupBy(key).applyInPandas(fold, f"{key} {kind}, task string, confidence int, applied int")
-
-
 def resolve_candidates(candidates: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Greedy memory resolution within a category, in input order.
 
@@ -178,3 +159,91 @@ def parse_sections(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if open_ is not None:
                 out.append((row.id, open_, row.text[at:].strip()))
         yield pd.DataFrame(out, columns=["id", "section", "body"])
+
+
+def parse_memories(replies: DataFrame, known: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
+    """``(reply_id, category, text, sources, confidence)`` from models' replies, JSON in ``body``.
+
+    Items stand in an array, under ``memories``, and either may lie in
+    ``result`` or ``data``. An item needs a category and a text; sources that
+    are named must be ``known(id)``, and an item whose named ones all aren't goes. Items without
+    named sources take the reply's ``fallback(reply_id, id)`` and go without
+    one. Equal items are merged: the highest confidence, all sources.
+    """
+    from tessera.operators import chunks as C
+
+    v = F.try_parse_json("body")
+    at = lambda x, path, kind: F.try_variant_get(x, path, kind)
+    root = F.coalesce(at(v, "$.result", "variant"), at(v, "$.data", "variant"), v)
+    items = F.coalesce(at(root, "$", "array<variant>"), at(root, "$.memories", "array<variant>"))
+    one = replies.select("reply_id", F.posexplode(items).alias("n", "item"))
+    is_text = lambda path: F.schema_of_variant(at(F.col("item"), path, "variant")) == "STRING"
+    text = F.coalesce(*[F.when(is_text(f"$.{k}"), at(F.col("item"), f"$.{k}", "string")) for k in ("text", "memory", "content", "overview", "abstract")])
+    many = F.coalesce(at(F.col("item"), "$.source_message_ids", "array<string>"), at(F.col("item"), "$.source_ids", "array<string>"))
+    single = F.when(is_text("$.source_message_id"), at(F.col("item"), "$.source_message_id", "string"))
+    named = F.coalesce(at(F.col("item"), "$.source_message_ids", "variant"), at(F.col("item"), "$.source_ids", "variant"), at(F.col("item"), "$.source_message_id", "variant")).isNotNull()
+    name = F.when(is_text("$.category"), at(F.col("item"), "$.category", "string"))
+    rows = one.select(
+        "reply_id", "n", F.when(name.isNotNull(), F.coalesce(C.category_of(name), F.lit("patterns"))).alias("category"), F.trim(F.regexp_replace(text, r"(?U)\s+", " ")).alias("text"),
+        C.confidence_of(at(F.col("item"), "$.confidence", "string")).alias("confidence"), named.alias("named"), F.transform(F.concat(F.coalesce(many, F.array().cast("array<string>")), F.array_compact(F.array(single))), lambda x: F.trim(x)).alias("ids"),
+    ).where("category is not null and text <> ''")
+    ids = rows.where("named").select("reply_id", "n", F.explode(F.array_distinct("ids")).alias("id")).join(known.select("id").distinct(), "id", "left_semi")
+    if fallback is not None:
+        ids = ids.unionByName(rows.where("not named").select("reply_id", "n").join(fallback.select("reply_id", "id"), "reply_id"))
+    sources = rows.join(ids, ["reply_id", "n"]).groupBy("reply_id", "category", "text").agg(F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("id")).alias("sources"))
+    return sources.select("reply_id", "category", "text", "sources", "confidence")
+
+
+#: Seconds after which an applying checkpoint counts as given up. A fixed value.
+STALE_SECONDS = 60
+
+
+def claim_checkpoints(checkpoints: DataFrame, requests: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """(checkpoints, outcomes) after promotion requests: the first half of an idempotent apply.
+
+    ``checkpoints``: session_id, checkpoint_id, request_hash, phase, attempts,
+    updated_at. ``requests``: session_id, checkpoint_id, request_hash. Stale
+    applying ones are pending again first. A request is ``claimed`` (new or
+    pending; its facts are then applied), ``replayed`` (applied before),
+    ``busy`` (applying) or a ``conflict`` (another hash under its id); of
+    several requests for one checkpoint the smallest hash counts.
+    """
+    keys = ["session_id", "checkpoint_id"]
+    now = F.lit(as_of).cast("timestamp_ntz")
+    stale = (F.col("phase") == "applying") & (F.col("updated_at") <= now - F.expr(f"interval {STALE_SECONDS} second"))
+    held = checkpoints.withColumn("phase", F.when(stale, "pending").otherwise(F.col("phase")))
+    asked = requests.groupBy(*keys).agg(F.min("request_hash").alias("new_hash"))
+    both = held.join(asked, keys, "full_outer")
+    outcome = (
+        F.when(F.col("new_hash").isNull(), F.lit(None).cast("string")).when(F.col("phase").isNull(), "claimed").when(F.col("request_hash") != F.col("new_hash"), "conflict")
+        .when(F.col("phase") == "applied", "replayed").when(F.col("phase") == "applying", "busy").otherwise("claimed")
+    )
+    both = both.withColumn("outcome", outcome)
+    claimed = F.coalesce(F.col("outcome") == "claimed", F.lit(False))
+    after = both.select(
+        *keys, F.coalesce("request_hash", "new_hash").alias("request_hash"), F.when(claimed, "applying").otherwise(F.col("phase")).alias("phase"),
+        (F.coalesce("attempts", F.lit(0)) + claimed.cast("int")).alias("attempts"), F.when(claimed, now).otherwise(F.col("updated_at")).alias("updated_at"),
+    )
+    return after.select(*checkpoints.columns), both.where("outcome is not null").select(*keys, "outcome")
+
+
+def finish_checkpoints(checkpoints: DataFrame, results: DataFrame, as_of: str) -> DataFrame:
+    """The second half: applying checkpoints named in ``results(session_id, checkpoint_id, ok)`` are applied, or pending again where it failed."""
+    keys = ["session_id", "checkpoint_id"]
+    both = checkpoints.join(results.select(*keys, "ok"), keys, "left")
+    hit = (F.col("phase") == "applying") & F.col("ok").isNotNull()
+    phase = F.when(hit & F.col("ok"), "applied").when(hit, "pending").otherwise(F.col("phase"))
+    at = F.when(hit, F.lit(as_of).cast("timestamp_ntz")).otherwise(F.col("updated_at"))
+    return both.withColumn("updated_at", at).withColumn("phase", phase).select(*checkpoints.columns)
+
+
+def commit(msgs: DataFrame, archives: DataFrame, extract: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(archive rows, memories) of committing sessions: each session's messages become its next archive.
+
+    ``archives``: session_id, archive. The memories are the heuristic ones, merged;
+    none if they aren't asked for.
+    """
+    last = archives.groupBy("session_id").agg(F.max("archive").alias("last"))
+    rows = msgs.join(last, "session_id", "left").withColumn("archive", (F.coalesce("last", F.lit(0)) + 1).cast("int")).drop("last")
+    found = merge_memories(extract_memories(msgs))
+    return rows, found if extract else found.limit(0)

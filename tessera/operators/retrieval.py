@@ -6,7 +6,9 @@ so they are broadcast; documents and postings are never collected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring as S
@@ -60,6 +62,62 @@ def _only(column: str, term: str) -> Column:
     return F.filter(column, lambda x: x == F.lit(term))
 
 
+@dataclass(frozen=True)
+class Index:
+    """A stored inverted index: rows (term, uri, tf, doc_len, terms), in folders by term bucket and sorted by term.
+
+    A query's terms name their buckets, so a request reads those folders alone,
+    and in them the row groups that hold the terms. ``terms`` is the number of a
+    document's distinct terms. ``n`` and ``avg_len`` are those of the corpus.
+    """
+
+    path: str
+    buckets: int
+    n: int
+    avg_len: float
+
+    def rows(self, spark: SparkSession, terms: list[str]) -> DataFrame:
+        own = sorted(set(terms))
+        where = spark.range(1).select(F.array_distinct(F.transform(F.array(*[F.lit(t) for t in own]), lambda t: bucket_of(t, self.buckets))).alias("b")).first()["b"] if own else []
+        return spark.read.parquet(self.path).where(F.col("bucket").isin(where) & F.col("term").isin(own))
+
+    def bm25(self, spark: SparkSession, terms: list[str]) -> DataFrame:
+        """``(uri, bm25, matched, terms)`` of documents with a query term."""
+        hits = self.rows(spark, terms)
+        df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row a query term
+        part = S.idf(F.lit(float(self.n)), F.col("df")) * S.bm25_term(F.col("tf"), F.col("doc_len"), F.lit(self.avg_len))
+        return hits.join(F.broadcast(df), "term").groupBy("uri").agg(F.sum(part).alias("bm25"), F.count("*").alias("matched"), F.first("terms").alias("terms"))
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def build_index(postings: DataFrame, path: str, buckets: int = 64) -> Index:
+    """Write ``postings(uri, term, tf)`` as an index: one shuffle by document for the lengths, one by bucket for the order."""
+    by = Window.partitionBy("uri")
+    rows = postings.withColumn("doc_len", F.sum("tf").over(by)).withColumn("terms", F.count("*").over(by).cast("int")).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    rows.repartition("bucket", F.pmod(F.xxhash64("uri"), F.lit(4))).sortWithinPartitions("bucket", "term", "uri").write.partitionBy("bucket").mode("overwrite").parquet(path)
+    whole = postings.groupBy("uri").agg(F.sum("tf").alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("avg")).first()
+    return Index(path, buckets, whole["docs"], float(whole["avg"] or 0.0))
+
+
+def near_pairs(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs of texts within one edit or one swap of neighbours, lower-cased.
+
+    Texts within one edit share the text itself or a text with one character
+    less; a swap shares one too. They meet by equality of these and are then compared.
+    """
+
+    def keyed(df: DataFrame, c: str, key: str) -> DataFrame:
+        low = F.lower(c)
+        short = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.concat(F.substring(low, F.lit(1), i - 1), F.substring(low, i + 1, F.length(low))))
+        return df.select(c, F.explode(F.array_distinct(F.concat(F.array(low), short))).alias(key))
+
+    met = keyed(left.select(a).distinct(), a, "ka").join(keyed(right.select(b).distinct(), b, "kb"), F.col("ka") == F.col("kb")).select(a, b).distinct()
+    return met.where(T.edit_distance_one(F.lower(a), F.lower(b)))
+
+
 def top(scored: DataFrame, k: int, score: str = "score", key: str = "uri") -> DataFrame:
     """The k best by score, ties by key: kept per partition, then merged."""
     return scored.orderBy(F.desc(score), key).limit(k)
@@ -67,8 +125,6 @@ def top(scored: DataFrame, k: int, score: str = "score", key: str = "uri") -> Da
 
 def with_rank(best: DataFrame, score: str = "score", key: str = "uri") -> DataFrame:
     """A rank column on an already limited result."""
-    from pyspark.sql import Window
-
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)).cast("int"))
 
 
@@ -144,13 +200,14 @@ def fanout_weight(priority: int) -> float:
     return FANOUT.get(priority, LAST_FANOUT)
 
 
-def merge_fanout(frames: list[tuple[DataFrame, int]], k: int) -> DataFrame:
-    """Hits of several planned queries, weighted by priority; the best score of each uri stays."""
+def merge_fanout(frames: list[tuple[DataFrame, int]], k: int | None = None) -> DataFrame:
+    """Hits of several planned queries, weighted by priority; the best score of each uri stays, of the ``k`` best if asked for."""
     out = None
     for df, priority in frames:
         own = df.select("uri", (F.col("score") * fanout_weight(priority)).alias("score"))
         out = own if out is None else out.unionByName(own)
-    return top(out.groupBy("uri").agg(F.max("score").alias("score")), k)
+    best = out.groupBy("uri").agg(F.max("score").alias("score"))
+    return best if k is None else top(best, k)
 
 
 def expand_levels(tree: DataFrame, local: DataFrame, root: str, levels: int = 5) -> DataFrame:
@@ -182,8 +239,6 @@ def relations_of(hits: DataFrame, relations: DataFrame, most: int = 5) -> DataFr
     The containment test becomes equality joins: the hit's ancestors against the
     owner and, at once, the hit against the relation's members.
     """
-    from pyspark.sql import Window
-
     from tessera.operators.docs import ancestors
 
     up = hits.select("uri", F.explode(ancestors(F.col("uri"))).alias("owner_uri"))

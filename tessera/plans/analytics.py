@@ -115,15 +115,16 @@ def q_trailing_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CASES = """cases AS (SELECT item_id, lower(trim(text)) AS query, item_id AS expected, 0 AS src FROM benchmark
-UNION ALL SELECT item_id, lower(trim(text)), item_id + 1, 1 FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT doc_id, lower(trim(substr(text, 1, 80))), doc_id, 2 FROM documents)"""
+UNION ALL SELECT item_id, lower(trim('how to ' || text)), item_id, 1 FROM benchmark WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) >= 2 AND NOT starts_with(lower(trim(text)), 'how to ') UNION ALL SELECT doc_id, lower(trim(text)), doc_id, 2 FROM documents)"""
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
     trim = lambda c: F.lower(F.trim(c))
     golden = b.select("item_id", trim(F.col("text")).alias("query"), F.col("item_id").alias("expected"), F.lit(0).alias("src"))
-    stress = b.where("item_id % 2 = 0").select("item_id", trim(F.col("text")), F.col("item_id") + 1, F.lit(1))
-    traces = d.select("doc_id", trim(F.substring("text", 1, 80)), "doc_id", F.lit(2))
+    variants = b.select("item_id", F.explode(O.stress_variants(F.col("text"))).alias("v")).where("v.kind = 'paraphrase'")
+    stress = variants.select("item_id", trim(F.col("v.variant")), F.col("item_id"), F.lit(1))
+    traces = d.select("doc_id", trim(F.col("text")), "doc_id", F.lit(2))
     return golden.union(stress).union(traces)
 
 
@@ -157,12 +158,12 @@ def q_ndcg_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(r"""WITH q AS (SELECT item_id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:6], ' ') AS query FROM benchmark), t AS (SELECT item_id, query, string_split(query, ' ') AS w FROM q)
+@query(r"""WITH q AS (SELECT item_id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), ' ') AS query FROM benchmark), t AS (SELECT item_id, query, string_split(query, ' ') AS w FROM q)
 SELECT item_id, 'paraphrase' AS kind, 'how to ' || query AS variant FROM t WHERE len(w) >= 2 AND NOT starts_with(lower(query), 'how to ')
 UNION ALL SELECT item_id, 'typo', array_to_string(list_transform(w, lambda x, i: CASE WHEN i = pos THEN x[1:len(x) // 2] || x[len(x) // 2 + 2:] ELSE x END), ' ') FROM (SELECT *, len(w) - list_position(list_reverse(list_transform(w, lambda x: len(x))), list_max(list_transform(w, lambda x: len(x)))) + 1 AS pos FROM t) WHERE len(w[pos]) >= 5""")
 def q_stress_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paraphrased and misspelt variants of the first six words of each item."""
-    words = F.slice(F.filter(F.split("text", r"\s+"), lambda x: x != ""), 1, 6)
+    """Paraphrased and misspelt variants of each item."""
+    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
     q = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(words, " ").alias("query"))
     return q.select("item_id", F.explode(O.stress_variants(F.col("query"))).alias("v")).select("item_id", "v.kind", "v.variant")
 
@@ -191,13 +192,13 @@ def q_corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").agg(n.alias("files"), b.alias("bytes"), kind.alias("profile"))
 
 
-@query("""WITH g AS (SELECT item_id, text AS query FROM benchmark WHERE item_id % 2 = 0), t AS (SELECT lower(text) AS q, min(item_id) AS pos, min_by(text, item_id) AS query FROM benchmark GROUP BY 1)
+@query("""WITH g AS (SELECT item_id, text AS query FROM benchmark), t AS (SELECT lower(text) AS q, min(doc_id) AS pos, min_by(text, doc_id) AS query FROM documents GROUP BY 1)
 SELECT query, 'ctx://resources/b/' || item_id AS expected_uri, 'golden' AS source FROM g UNION ALL (SELECT query, 'ctx://resources/b/' || pos, 'golden-seed' FROM t WHERE q NOT IN (SELECT lower(query) FROM g) ORDER BY pos LIMIT 5)""")
 def q_golden_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Golden cases with up to five new ones from traces."""
-    b = table(spark, sf_dir, "benchmark")
-    case = lambda source: [F.col("text").alias("query"), F.concat(F.lit("ctx://resources/b/"), F.col("item_id").cast("string")).alias("expected_uri"), F.lit(source).alias("source"), F.col("item_id").alias("pos")]
-    return V.merge_golden(b.where("item_id % 2 = 0").select(*case("golden")), b.select(*case("trace")), 5).drop("pos")
+    case = lambda id, source: [F.col("text").alias("query"), F.concat(F.lit("ctx://resources/b/"), F.col(id).cast("string")).alias("expected_uri"), F.lit(source).alias("source"), F.col(id).alias("pos")]
+    golden, traces = table(spark, sf_dir, "benchmark").select(*case("item_id", "golden")), table(spark, sf_dir, "documents").select(*case("doc_id", "trace"))
+    return V.merge_golden(golden, traces, 5).drop("pos")
 
 
 _RUNS_SQL = "runs AS (SELECT CAST(ts AS DATE) AS day, CAST(max(ceil(value)) AS BIGINT) AS p95_ms, round(count(*) FILTER (event_type <> 'error') / count(*), 4) AS top1 FROM events GROUP BY 1)"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import chunks as C
 from tessera.operators import memory as M
+from tessera.operators import om as Z
 
 from .registry import query, table
 
@@ -158,11 +159,18 @@ def q_reflection_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.apply_reflection(entries, refl).select("scope", "entry_id", "priority", "superseded_by")
 
 
-@query()
+@query(f"""WITH {MSG_SQL}, u AS (SELECT session_id, created_at, id, CASE WHEN role <> 'assistant' THEN text END AS task, CASE WHEN role <> 'user' THEN text END AS reply, CASE WHEN turn % 4 = 0 THEN 940 WHEN turn % 4 = 1 THEN 720 WHEN turn % 4 = 2 THEN 600 ELSE 450 END AS c FROM msgs),
+f AS (SELECT session_id, list_reduce(list({{'task': task, 'reply': reply, 'c': c}} ORDER BY created_at, id), lambda s, x: {{
+ 'task': CASE WHEN x.c >= 500 THEN coalesce(nullif(trim(x.task, ' '), ''), s.task) ELSE s.task END,
+ 'reply': CASE WHEN x.c >= 700 AND nullif(trim(x.reply, ' '), '') IS NOT NULL AND (s.reply IS NULL OR s.c <= x.c) THEN trim(x.reply, ' ') ELSE s.reply END,
+ 'c': CASE WHEN (x.c >= 500 AND nullif(trim(x.task, ' '), '') IS NOT NULL) OR (x.c >= 700 AND nullif(trim(x.reply, ' '), '') IS NOT NULL AND (s.reply IS NULL OR s.c <= x.c)) THEN x.c ELSE s.c END}},
+ {{'task': NULL::VARCHAR, 'reply': NULL::VARCHAR, 'c': 0}}) AS s FROM u GROUP BY session_id) SELECT session_id, s.task AS task, s.reply AS reply, CAST(s.c AS INTEGER) AS confidence FROM f""")
 def q_continuation_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continuation state of each session, folded in time order."""
-    conf = F.when(F.lower("text").rlike("error|fail"), 940).when(F.col("role") == "user", 820).otherwise(600)
-    return M.continuation_fold(_msgs(spark, sf_dir).select("session_id", "id", "created_at", F.substring("text", 1, 140).alias("task"), conf.alias("confidence")))
+    conf = F.get(F.array(F.lit(940), F.lit(720), F.lit(600), F.lit(450)), (F.col("turn") % 4).cast("int"))
+    task, reply = F.when(F.col("role") != "assistant", F.col("text")), F.when(F.col("role") != "user", F.col("text"))
+    own = _msgs(spark, sf_dir).select("session_id", "id", "created_at", task.alias("task"), reply.alias("reply"), conf.alias("confidence"))
+    return Z.fold_continuations(own).select("session_id", "task", "reply", "confidence")
 
 
 @query()
@@ -201,14 +209,16 @@ def q_observation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.build_chunks(_msgs(spark, sf_dir))
 
 
-@query(f"WITH {SAID_SQL} SELECT DISTINCT category, text, session_id::VARCHAR AS session_id, id FROM (SELECT category, regexp_extract(text, '^[A-Z][^.]*[.]') AS text, session_id, id FROM ({_category_sql()})) WHERE text <> ''")
+@query(rf"WITH {SAID_SQL} SELECT DISTINCT category, text, session_id::VARCHAR AS session_id, id FROM (SELECT category, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, session_id, id FROM ({_category_sql()})) WHERE text <> ''")
 def q_memory_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memories written as documents by category and read back."""
-    m = M.extract_memories(_said(spark, sf_dir)).withColumn("text", F.regexp_extract("text", "^[A-Z][^.]*[.]", 0)).where("text <> ''")
+    m = M.extract_memories(_said(spark, sf_dir)).withColumn("text", T.collapse(F.col("text"))).where("text <> ''")
     return C.render_entries(m).mapInPandas(C.parse_documents, "category string, text string, session_id string, id string")
 
 
-@query()
+@query(f"""WITH {SAID_SQL}, m AS (SELECT category, text, id FROM ({_category_sql()})), w AS (SELECT *, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ') AS words FROM m),
+h AS (SELECT *, CASE WHEN words = '' THEN 14695981039346656037::UBIGINT ELSE list_reduce(list_transform(string_split(words, ''), lambda x: ascii(x)::UBIGINT), lambda a, x: CAST((xor(a, x)::UHUGEINT * 17592186044851) % 18446744073709551616::UHUGEINT AS UBIGINT), 14695981039346656037::UBIGINT) END AS h FROM w)
+SELECT category, text, id, CASE category WHEN 'profile' THEN 'profile' WHEN 'preferences' THEN 'pref-' WHEN 'entities' THEN 'entity-' WHEN 'events' THEN 'event-' WHEN 'cases' THEN 'case-' ELSE 'pattern-' END || CASE WHEN category = 'profile' THEN '' ELSE substr(lpad(lower(to_hex(h)), 16, '0'), 1, 12) END AS key FROM h""")
 def q_memory_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The key of every memory."""
     return C.with_memory_keys(M.extract_memories(_said(spark, sf_dir)).select("category", "text", "id"))

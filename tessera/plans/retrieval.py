@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring as S
 from tessera.functions import text as T
 from tessera.operators import docs as D
 from tessera.operators import retrieval as R
+from tessera.sources.shared import shared_dir
 
 from .registry import query, table
 
@@ -35,13 +38,35 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.from_documents(table(spark, sf_dir, "documents"))
 
 
+_INDEXES: dict[tuple, R.Index] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str, weighted: bool) -> R.Index:
+    """The stored index of the documents: built once a session for a table as it is, then read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path)
+    key = (spark.sparkContext.applicationId, sf_dir, weighted, there.getLength(), there.getFileCount())
+    if key not in _INDEXES:
+        docs = _docs(spark, sf_dir)
+        folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        _INDEXES[key] = R.build_index(D.postings(docs) if weighted else D.word_postings(docs), folder)
+    return _INDEXES[key]
+
+
 @query(f"WITH {DOCS_SQL}, {WORDS_SQL}, {BM25_SQL % _in(TERMS)} SELECT uri, round(bm25, 4) AS score, matched FROM bm ORDER BY score DESC, uri LIMIT 10")
 def q_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over plain words, the ten best documents."""
-    found = R.bm25_scan(_docs(spark, sf_dir), T.alnum_words(F.col("content")), TERMS, ["uri"])
+    found = _index(spark, sf_dir, False).bm25(spark, TERMS)
     return R.top(found.select("uri", F.round("bm25", 4).alias("score"), "matched"), 10)
 
 
+@query(f"WITH {DOCS_SQL}, {WORDS_SQL}, {BM25_SQL % _in(TERMS)} SELECT uri, round(bm25, 4) AS score, matched FROM bm")
+def q_bm25_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scores of all matching documents without an index, by one scan for the statistics and one for the scores."""
+    found = R.bm25_scan(_docs(spark, sf_dir), T.alnum_words(F.col("content")), TERMS, ["uri"])
+    return found.select("uri", F.round("bm25", 4).alias("score"), "matched")
+
+
 _TOKENS = r"""(list_filter(list_transform(list_filter(regexp_split_to_array({c}, '\s+'), lambda x: x <> ''), lambda x: regexp_replace(x, '^[!"#$%&''()*+,;<=>?@\[\\\]^`{{|}}~]+|[!"#$%&''()*+,;<=>?@\[\\\]^`{{|}}~]+$', '', 'g')), lambda x: x <> ''))"""
 _PLAIN = r"""flatten(list_transform({t}, lambda x: list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(x, '(\p{{Lu}}\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g'), '(\p{{Ll}})(\p{{Lu}})', '\1 \2', 'g')), '[^\p{{L}}\p{{N}}]+'), lambda y: y <> '')))"""
 _SYMBOLIC = r"""list_transform(list_filter({t}, lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]')), lambda x: lower(x))"""
@@ -59,7 +84,7 @@ post AS (SELECT uri, term, CAST(sum(w) AS BIGINT) AS tf FROM weighted GROUP BY A
 @query(f"WITH {DOCS_SQL}, {_WEIGHTED_SQL}, {BM25_SQL % _in(TERMS)} SELECT uri, round(bm25, 4) AS score, matched FROM bm ORDER BY score DESC, uri LIMIT 20")
 def q_bm25_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over weighted plain and symbolic tokens of text, name, uri and tags."""
-    found = R.bm25(D.postings(_docs(spark, sf_dir)), TERMS)
+    found = _index(spark, sf_dir, True).bm25(spark, TERMS)
     return R.top(found.select("uri", F.round("bm25", 4).alias("score"), "matched"), 20)
 
 
@@ -74,10 +99,8 @@ def q_corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT uri, inter AS matched, round(inter / ({len(TERMS)} + n - inter), 6) AS jaccard FROM m JOIN sizes USING (uri)""")
 def q_jaccard_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token overlap of each document with the query's terms."""
-    terms = F.array(*[F.lit(t) for t in TERMS])
-    own = _docs(spark, sf_dir).select("uri", T.keywords(F.col("content")).alias("k"))
-    inter = F.size(F.array_intersect("k", terms))
-    return own.select("uri", inter.cast("long").alias("matched"), F.round(inter / (len(TERMS) + F.size("k") - inter), 6).alias("jaccard")).where("matched > 0")
+    found = _index(spark, sf_dir, False).bm25(spark, TERMS)
+    return found.select("uri", "matched", F.round(F.col("matched") / (len(TERMS) + F.col("terms") - F.col("matched")), 6).alias("jaccard"))
 
 
 @query(f"WITH {DOCS_SQL} SELECT uri, CAST(1 AS DOUBLE) AS literal FROM docs WHERE contains(lower(content), 'apache license')")
@@ -155,10 +178,9 @@ def q_exact_ladder_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT a.p_brand AS a, b.p_brand AS b FROM part a JOIN (SELECT DISTINCT p_brand FROM part) b ON damerau_levenshtein(lower(a.p_brand), lower(b.p_brand)) <= 1")
 def q_edit_distance_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brands within one edit or swap; brands are a small fixed list, so one side is broadcast."""
-    brands = table(spark, sf_dir, "part").select("p_brand").distinct()
-    other = brands.select(F.col("p_brand").alias("b"))
-    return brands.join(other, T.edit_distance_one(F.lower("p_brand"), F.lower("b"))).select(F.col("p_brand").alias("a"), "b")
+    """Brands within one edit or swap: they meet by what is left without one character, and are then compared."""
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("a"))
+    return R.near_pairs(brands, brands.select(F.col("a").alias("b")), "a", "b")
 
 
 @query(r"""WITH k AS (SELECT DISTINCT p_type, lower(regexp_replace(p_type, '[^\p{L}\p{N}]', '', 'g')) AS c FROM part), q AS (SELECT min(c) AS qc FROM k),
@@ -183,9 +205,10 @@ h AS (SELECT uri, round(CASE WHEN e >= 0.9 THEN 0.35 WHEN e >= 0.82 THEN 0.22 WH
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(uri, score, path) with all parts of the blend, for documents with a query term."""
-    found = R.bm25_scan(_docs(spark, sf_dir), T.alnum_words(F.col("content")), TERMS, ["uri", "abstract_text", "content", "updated_at"])
+    hits = _index(spark, sf_dir, False).bm25(spark, TERMS)
+    found = _docs(spark, sf_dir).select("uri", "abstract_text", "content", "updated_at").join(hits, "uri")
     exact = F.when(F.lower("abstract_text") == "license", 0.99).otherwise(0.0)
-    inter, size = F.col("matched"), F.size(T.keywords(F.col("content")))
+    inter, size = F.col("matched"), F.col("terms")
     sparse = S.lexical(F.col("bm25"), inter / (len(TERMS) + size - inter), F.contains(F.lower("content"), F.lit("license")).cast("double"))
     recent = S.recency(F.col("updated_at").cast("timestamp"), F.lit("2026-01-01 00:00:00").cast("timestamp_ntz").cast("timestamp"))
     path = F.when(F.startswith("uri", F.lit("ctx://resources/src1/")), 0.8).otherwise(0.0)
@@ -218,7 +241,7 @@ def q_fanout_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = hybrid(spark, sf_dir)
     second = h.where("path > 0")
     third = second.withColumn("score", 2 * F.col("score"))
-    merged = R.merge_fanout([(h, 1), (second, 2), (third, 3)], 1 << 30)
+    merged = R.merge_fanout([(h, 1), (second, 2), (third, 3)])
     return R.top(merged.select("uri", F.round("score", 4).alias("score")), 20)
 
 
@@ -246,13 +269,15 @@ def q_rerank_doc_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top(best, 10)
 
 
-@query("""WITH pairs AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_partkey <= 200), m AS (SELECT a.p AS hit, b.p AS related, a.o FROM pairs a JOIN pairs b ON a.o = b.o AND a.p <> b.p)
-SELECT hit, related, rn FROM (SELECT hit, related, row_number() OVER (PARTITION BY hit ORDER BY related) AS rn FROM (SELECT DISTINCT hit, related FROM m)) WHERE rn <= 5""")
+@query("""WITH pairs AS (SELECT DISTINCT l_orderkey AS o, 'ctx://resources/parts/' || l_partkey AS p FROM lineitem), m AS (SELECT DISTINCT a.p AS uri, b.p AS related, o_orderpriority AS reason FROM pairs a JOIN pairs b ON a.o = b.o AND a.p <> b.p JOIN orders ON a.o = o_orderkey)
+SELECT uri, related, reason, place FROM (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY related, reason) AS place FROM m) WHERE place <= 5""")
 def q_relations_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to five parts that share an order with a part: relations by owner, both sides equal joins."""
-    li = table(spark, sf_dir, "lineitem").where("l_partkey <= 200").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
-    m = li.select("o", F.col("p").alias("hit")).join(li.select("o", F.col("p").alias("related")), "o").where("hit <> related").select("hit", "related").distinct()
-    return m.withColumn("rn", F.row_number().over(Window.partitionBy("hit").orderBy("related")).cast("long")).where("rn <= 5")
+    """Up to five related parts of each part: an order is a relation of its parts, owned by their directory."""
+    li, o, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
+    uri = lambda c: F.concat(F.lit("ctx://resources/parts/"), F.col(c).cast("string"))
+    members = li.groupBy("l_orderkey").agg(F.collect_set(uri("l_partkey")).alias("uris"))  # an order has a few lines
+    relations = members.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.lit("ctx://resources/parts").alias("owner_uri"), F.col("l_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("reason"), "uris")
+    return R.relations_of(p.select(uri("p_partkey").alias("uri")), relations, 5).select("uri", "related", "reason", F.col("place").cast("long").alias("place"))
 
 
 @query(f"""WITH {DOCS_SQL}, r(prefix, kind) AS (VALUES ('ctx://resources', 'resource'), ('ctx://resources/src1', 'source_one'), ('ctx://resources/src1/en', 'english'), ('ctx://resources/src2', 'source_two'))

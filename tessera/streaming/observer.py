@@ -1,6 +1,6 @@
 """Observer state of sessions: one fold, run in batch or as a stream.
 
-A session's state is five numbers. Each message adds its tokens; at the
+A session's state is seven values. Each message adds its tokens; at the
 threshold an observation chunk is written and pending tokens start anew, at an
 interval's crossing the chunk is deferred; observed tokens over the reflection
 threshold ask for a reflection, which raises the generation.
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD, INTERVAL, REFLECT = 200, 50, 300
-STATE = "pending int, observed int, chunks int, generation int, last_id string"
+STATE = "pending int, observed int, chunks int, generation int, deferred int, reflections int, last_id string"
 OUT = "session_id long, pending int, observed int, chunks int, deferred int, reflections int, generation int"
 
 
@@ -26,6 +26,8 @@ class State:
     observed: int = 0
     chunks: int = 0
     generation: int = 0
+    deferred: int = 0
+    reflections: int = 0
     last: str = ""
 
 
@@ -45,11 +47,10 @@ def step(state: State, tokens: int) -> tuple[bool, bool]:
 
 
 def _fold(session: int, rows: pd.DataFrame, state: State) -> pd.DataFrame:
-    deferred = reflections = 0
     for row in rows.sort_values(["turn", "id"]).itertuples():
         d, r = step(state, -(-len(row.text or "") // 4))
-        deferred, reflections, state.last = deferred + d, reflections + r, row.id
-    return pd.DataFrame([(session, state.pending, state.observed, state.chunks, deferred, reflections, state.generation)], columns=[c.split()[0] for c in OUT.split(", ")])
+        state.deferred, state.reflections, state.last = state.deferred + d, state.reflections + r, row.id
+    return pd.DataFrame([(session, state.pending, state.observed, state.chunks, state.deferred, state.reflections, state.generation)], columns=[c.split()[0] for c in OUT.split(", ")])
 
 
 def fold_batch(messages: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def fold_stream(messages: DataFrame) -> DataFrame:
         state = State(*held.get) if held.exists else State()
         rows = pd.concat(list(pdfs))
         yield _fold(key[0], rows, state)
-        held.update((state.pending, state.observed, state.chunks, state.generation, state.last))
+        held.update((state.pending, state.observed, state.chunks, state.generation, state.deferred, state.reflections, state.last))
 
     own = messages.select("session_id", "id", "turn", "text").dropDuplicates(["id"])
     return own.groupBy(F.col("session_id")).applyInPandasWithState(run, OUT, STATE, "update", "NoTimeout")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import engine, gates, memory, ontology, outbox, planner
+from tessera.operators import engine, gates, memory, om, ontology, outbox, planner
 from tessera.sources import files
 from tessera.streaming import observer
 
@@ -114,14 +114,14 @@ def test_reflection_and_policy(spark):
 def test_observer_stream_equals_batch(spark, tmp_path):
     rows = [(s, f"{s}:{t}", t, "word " * (20 + 7 * t)) for s in range(5) for t in range(12)]
     df = spark.createDataFrame(rows, "session_id long, id string, turn int, text string")
-    want = {r.session_id: (r.pending, r.observed, r.chunks, r.generation) for r in observer.fold_batch(df).collect()}
+    want = {r.session_id: tuple(r) for r in observer.fold_batch(df).collect()}
     for part in range(3):
         df.where(f"turn div 4 = {part}").coalesce(1).write.parquet(f"{tmp_path}/in/p{part}")
     source = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 100).parquet(f"{tmp_path}/in")
     out = {}
 
     def keep(batch, _):
-        out.update({r.session_id: (r.pending, r.observed, r.chunks, r.generation) for r in batch.collect()})
+        out.update({r.session_id: tuple(r) for r in batch.collect()})
 
     observer.fold_stream(source).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
     assert out == want
@@ -149,10 +149,10 @@ def test_ontology_and_gates(spark):
 
 
 def test_continuation_is_gated(spark):
-    rows = [(1, "1:1", 1, "first", 600), (1, "1:2", 2, "weak", 400), (1, "1:3", 3, "second", 820), (1, "1:4", 4, "third", 650)]
-    df = spark.createDataFrame(rows, "session_id long, id string, created_at int, task string, confidence int")
-    r = memory.continuation_fold(df).first()
-    assert (r.task, r.applied) == ("second", 2)
+    rows = [(1, "1:1", 1, "first", "go", 720), (1, "1:2", 2, "weak", "no", 400), (1, "1:3", 3, "second", None, 600), (1, "1:4", 4, " ", "later", 710), (2, "2:1", 1, None, None, 900)]
+    df = spark.createDataFrame(rows, "session_id long, id string, created_at int, task string, reply string, confidence int")
+    got = {r.session_id: (r.task, r.reply, r.confidence, r.applied) for r in om.fold_continuations(df).collect()}
+    assert got == {1: ("second", "later", 710, 3), 2: (None, None, 0, 0)}
 
 
 def test_packing_promotion_and_pure_reflection(spark):
