@@ -38,7 +38,7 @@ def from_documents(documents: DataFrame) -> DataFrame:
 
 def first_line(text: Column) -> Column:
     """The first line that isn't blank, trimmed; empty if there is none."""
-    return F.coalesce(F.get(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), F.lit(0)), F.lit(""))
+    return F.coalesce(F.get(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0)), F.lit(""))
 
 
 def segments(uri: Column) -> Column:

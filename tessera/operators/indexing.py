@@ -78,7 +78,7 @@ def json_title(content: Column) -> Column:
 
 def title_of(parser: Column, content: Column) -> Column:
     """The title of Markdown (its first top heading, else the first line), JSON or text; null if there is none."""
-    rows = F.transform(T.lines(content), F.trim)
+    rows = F.transform(T.lines(content), lambda x: F.trim(x))
     first = F.get(F.filter(rows, lambda x: x != ""), F.lit(0))
     plain = F.get(F.filter(rows, lambda x: (x != "") & ~x.rlike(r"^(?:-{3,}|\*{3,}|_{3,})$")), F.lit(0))
     head = F.trim(F.substring(F.get(F.filter(rows, lambda x: x.startswith("# ")), F.lit(0)), F.lit(3), F.length(content)))
@@ -182,7 +182,7 @@ def tail_headings(content: Column, most: int = TAIL_HEADINGS) -> Column:
     """The last distinct Markdown headings outside fences, each where it comes first."""
     parts = F.split(content, r"(?m)^[ \t]*(?:```|~~~).*$", -1)
     open_text = F.array_join(F.filter(parts, lambda _, i: i % 2 == 0), "\n")
-    heads = F.filter(F.transform(T.lines(open_text), F.trim), lambda x: x.startswith("#"))
+    heads = F.filter(F.transform(T.lines(open_text), lambda x: F.trim(x)), lambda x: x.startswith("#"))
     texts = F.filter(F.transform(heads, lambda x: F.substring(F.trim(F.regexp_replace(x, "^#+", "")), 1, HEADING_CHARS)), lambda x: x != "")
     low = F.transform(texts, F.lower)
     once = F.transform(F.array_distinct(low), lambda k: F.get(texts, (F.array_position(low, k) - 1).cast("int")))
@@ -306,14 +306,14 @@ def directory_tiers(entries: DataFrame, most_entries: int = 64, most_words: int
 
 def snippet(content: Column, abstract: Column, words: list[str]) -> Column:
     """The first line with a query word (any line without words), else the abstract, cut at 240 characters; null if both are blank."""
-    rows = F.filter(F.transform(T.lines(content), F.trim), lambda x: x != "")
+    rows = F.filter(F.transform(T.lines(content), lambda x: F.trim(x)), lambda x: x != "")
     hit = F.get(F.filter(rows, lambda x: any_in(F.lower(x), words)) if words else rows, F.lit(0))
     return F.coalesce(F.substring(hit, 1, SNIPPET), F.nullif(F.substring(F.trim(abstract), 1, SNIPPET), F.lit("")))
 
 
 def matched_heading(content: Column, words: list[str]) -> Column:
     """The first heading with a query word, else the first heading."""
-    heads = F.filter(F.transform(T.lines(content), F.trim), lambda x: x.startswith("#"))
+    heads = F.filter(F.transform(T.lines(content), lambda x: F.trim(x)), lambda x: x.startswith("#"))
     texts = F.filter(F.transform(heads, lambda x: F.trim(F.regexp_replace(x, "^#+", ""))), lambda x: x != "")
     hit = F.get(F.filter(texts, lambda x: any_in(F.lower(x), words)), F.lit(0)) if words else F.lit(None).cast("string")
     return F.substring(F.coalesce(hit, F.get(texts, F.lit(0))), 1, SNIPPET)

@@ -97,7 +97,7 @@ def apply_reflections(records: DataFrame, entries: DataFrame, requests: DataFram
 
 def reflection_draft(observations: Column, most: int) -> Column:
     """(reflection, tokens, covered lines, tokens of the input) of active observations; null where there are none."""
-    rows = F.filter(F.transform(T.lines(observations), F.trim), lambda x: x != "")
+    rows = F.filter(F.transform(T.lines(observations), lambda x: F.trim(x)), lambda x: x != "")
     text = T.collapse(F.array_join(rows, " "))
     cut = F.substring(text, 1, most)
     out = F.struct(cut.alias("reflection"), T.estimate_tokens(cut).alias("tokens"), F.array_join(rows, "\n").alias("covered"), T.estimate_tokens(text).alias("input_tokens"))
@@ -106,7 +106,7 @@ def reflection_draft(observations: Column, most: int) -> Column:
 
 def merge_reflection(active: Column, covered: Column, reflection: Column) -> Column:
     """A buffered reflection followed by the active lines that it doesn't cover; lines are covered from the first on."""
-    old = F.filter(F.transform(T.lines(covered), F.trim), lambda x: x != "")
+    old = F.filter(F.transform(T.lines(covered), lambda x: F.trim(x)), lambda x: x != "")
     met = F.transform(F.zip_with(active, old, lambda a, c: F.coalesce(F.trim(a) == c, F.lit(False))), lambda x: x)
     wrong = F.array_position(met, False).cast("int")
     at = F.least(F.when(wrong > 0, wrong - 1).otherwise(F.size(met)), F.size(active))

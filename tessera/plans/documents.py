@@ -102,7 +102,7 @@ def q_infer_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {DOCS_SQL} SELECT uri, substr(coalesce(list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x, ' ')), lambda x: contains(lower(x), 'license'))[1], abstract_text), 1, 240) AS snippet FROM docs")
 def q_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line with a query word, else the abstract, cut at 240 characters."""
-    lines = F.transform(F.split("content", "\n"), F.trim)
+    lines = F.transform(F.split("content", "\n"), lambda x: F.trim(x))
     hit = F.get(F.filter(lines, lambda x: F.contains(F.lower(x), F.lit("license"))), F.lit(0))
     return _docs(spark, sf_dir).select("uri", F.substring(F.coalesce(hit, "abstract_text"), 1, 240).alias("snippet"))
 

@@ -184,3 +184,12 @@ def test_keys_and_configuration(spark):
     assert got == [("profile", 500, "Persona"), ("patterns", 900, "rules"), (None, 700, "x")]
     faults = spark.createDataFrame([(0, 1, ["a", "a"]), (1, 1, ["a"])], "seq int, tokens int, message_ids array<string>")
     assert [r.faults for r in chunks.chunk_faults(faults).collect()] == [["seq", "repeated_ids"]]
+
+
+def test_lines_keep_their_digits(spark):
+    """A function of two parameters in a transform gets the place, too: trimming must not take it for characters."""
+    from tessera.operators import docs, indexing
+
+    df = spark.createDataFrame([("0 first\n1\n# 22 two2\n 3",)], "c string")
+    got = df.select(docs.first_line(F.col("c")), indexing.title_of(F.lit("text"), F.col("c")), indexing.tail_headings(F.col("c")), indexing.snippet(F.col("c"), F.lit(""), ["two"])).first()
+    assert tuple(got) == ("0 first", "0 first", ["22 two2"], "# 22 two2")
