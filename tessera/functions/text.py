@@ -91,6 +91,21 @@ def char_ngrams(token: Column, n: int) -> Column:
     return F.when(size <= n, F.array(token)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(token, i, F.lit(n))))
 
 
+def hash_features(text: Column) -> Column:
+    """Features of a text with their weights: canonical tokens at 1, their character trigrams at 0.35, pairs of neighbours at 0.8."""
+    own = tokenize(text)
+    item = lambda f, w: F.struct(f.alias("f"), F.lit(w).alias("w"))
+    one = F.transform(own, lambda t: item(canonical_token(t), 1.0))
+    tri = F.flatten(F.transform(own, lambda t: F.transform(char_ngrams(t, 3), lambda g: item(F.concat(F.lit("tri:"), g), 0.35))))
+    pairs = F.zip_with(F.slice(own, F.lit(1), F.greatest(F.size(own) - 1, F.lit(0))), F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0))), lambda a, b: item(F.concat(F.lit("bi:"), a, F.lit(" "), b), 0.8))
+    return F.concat(one, tri, pairs)
+
+
+def hash_bucket(feature: Column, buckets: int = 64) -> Column:
+    """A feature's bucket: the first two bytes of its MD5."""
+    return (F.conv(F.substring(F.md5(feature), 1, 4), 16, 10).cast("int") % buckets).cast("int")
+
+
 def compact_key(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
 
@@ -156,16 +171,10 @@ def content_lines(text: Column, limit: int = 64) -> Column:
 
 def headings(text: Column, limit: int = 24) -> Column:
     """Lower-case Markdown headings outside code fences, head and tail."""
-    start = F.struct(F.lit(False).alias("fenced"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, line: Column) -> Column:
-        own = F.trim(line)
-        fence = own.startswith("```") | own.startswith("~~~")
-        title = F.lower(F.trim(F.regexp_replace(F.regexp_extract(own, r"^#{1,6}\s+(.*)$", 1), r"#+\s*$", "")))
-        add = ~acc["fenced"] & ~fence & (title != "")
-        return F.struct(F.when(fence, ~acc["fenced"]).otherwise(acc["fenced"]).alias("fenced"), F.when(add, F.concat(acc["out"], F.array(title))).otherwise(acc["out"]).alias("out"))
-
-    return head_tail(F.aggregate(lines(text), start, step, lambda acc: acc["out"]), limit)
+    parts = F.split(text, r"(?m)^[ \t]*(?:```|~~~).*$", -1)
+    plain = F.array_join(F.filter(parts, lambda _, i: i % 2 == 0), "\n")
+    title = lambda x: F.lower(F.trim(F.regexp_replace(F.regexp_extract(F.trim(x), r"^#{1,6}\s+(.*)$", 1), r"#+\s*$", "")))
+    return head_tail(F.filter(F.transform(lines(plain), title), lambda x: x != ""), limit)
 
 
 def basename(uri: Column) -> Column:

@@ -63,3 +63,17 @@ def pressure(counts: DataFrame, most_basis_points: int) -> DataFrame:
     total = counts.agg(F.sum("failed").alias("failed"), F.sum("checked").alias("checked"))
     bp = F.when(F.col("checked") == 0, 0).otherwise(F.floor(F.col("failed") * 10000 / F.col("checked")))
     return total.select("failed", "checked", bp.alias("basis_points"), (bp > most_basis_points).alias("under_pressure"))
+
+
+def enqueue(requests: DataFrame, contracts: dict[str, str]) -> DataFrame:
+    """Action requests with their outcome and, where they are queued, their outbox payload.
+
+    ``requests`` has action_id and input (JSON); ``contracts`` names each known
+    action's input kind. Others are ``unknown_action`` or ``input``.
+    """
+    fits, known = F.lit(False), F.lit(False)
+    for action, contract in contracts.items():
+        own = F.col("action_id") == action
+        known, fits = known | own, fits | (own & action_allowed(F.col("input"), contract))
+    outcome = F.when(~known, "unknown_action").when(~F.coalesce(fits, F.lit(False)), "input").otherwise("queued")
+    return requests.withColumn("outcome", outcome).withColumn("payload_json", F.when(F.col("outcome") == "queued", F.to_json(F.struct("action_id", "input"))))

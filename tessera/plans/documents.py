@@ -10,7 +10,7 @@ from tessera.functions import text as T
 from tessera.operators import docs as D
 
 from .registry import query, table
-from .retrieval import DOCS_SQL, _docs, _nation_uris
+from .retrieval import _PLAIN, _SYMBOLIC, _TOKENS, DOCS_SQL, _docs, _nation_uris
 
 _CUSTOMERS = "SELECT 'ctx://resources/' || lower(replace(r_name, ' ', '-')) || '/' || lower(replace(n_name, ' ', '-')) || '/' || c_custkey AS uri FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 
@@ -139,14 +139,23 @@ def q_project_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", own.alias("folded"))
 
 
-@query()
+def _canonical(t: str) -> str:
+    own = "CASE " + " ".join(f"WHEN trim({t}, ' ') IN ({', '.join(repr(w) for w in words)}) THEN '{name}'" for name, words in T.SYNONYMS.items()) + f" ELSE trim({t}, ' ') END"
+    return own
+
+
+_STEM = " ".join(f"WHEN ends_with(c, '{e}') AND strlen(c) > 4 AND strlen(c) - {len(e)} >= 3 THEN substr(c, 1, length(c) - {len(e)})" for e in ("ing", "ed", "es", "s"))
+_TOK = _TOKENS.format(c="content")
+
+
+@query(f"""WITH {DOCS_SQL}, t AS (SELECT uri, list_concat({_PLAIN.format(t=_TOK)}, {_SYMBOLIC.format(t=_TOK)}) AS ts FROM docs), one AS (SELECT uri, {_canonical("x")} AS c FROM (SELECT uri, unnest(ts) AS x FROM t)),
+f AS (SELECT uri, CASE {_STEM} ELSE c END AS f, 1.0 AS w FROM one UNION ALL SELECT uri, 'tri:' || g, 0.35 FROM (SELECT uri, unnest(CASE WHEN length(x) <= 3 THEN [x] ELSE list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3)) END) AS g FROM (SELECT uri, unnest(ts) AS x FROM t))
+ UNION ALL SELECT uri, 'bi:' || b, 0.8 FROM (SELECT uri, unnest(list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1])) AS b FROM t)), c AS (SELECT uri, CAST('0x' || substr(md5(f), 1, 4) AS BIGINT) % 64 AS b, sum(w) AS w FROM f GROUP BY ALL), n AS (SELECT uri, sqrt(sum(w * w)) AS norm, map_from_entries(list((b, w))) AS m FROM c GROUP BY uri)
+SELECT uri, list_transform(range(0, 64), lambda i: round(coalesce(m[i], 0) / norm, 4)) AS vec FROM n""")
 def q_feature_hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """64-bucket feature-hash vectors of the documents, normalised: tokens, trigrams at 0.35, word pairs at 0.8."""
-    words = T.keywords(F.col("content"))
-    tri = F.flatten(F.transform(words, lambda t: F.transform(T.char_ngrams(t, 3), lambda g: F.struct(F.concat(F.lit("tri:"), g).alias("f"), F.lit(0.35).alias("w")))))
-    one = F.transform(words, lambda t: F.struct(T.canonical_token(t).alias("f"), F.lit(1.0).alias("w")))
-    feats = _docs(spark, sf_dir).select("uri", F.explode(F.concat(one, tri)).alias("x"))
-    cells = feats.groupBy("uri", F.pmod(F.xxhash64("x.f"), F.lit(64)).alias("bucket")).agg(F.round(F.sum("x.w"), 6).alias("w"))
+    """64-bucket feature-hash vectors of the documents, normalised: tokens, trigrams at 0.35, pairs at 0.8, all with their repeats."""
+    feats = _docs(spark, sf_dir).select("uri", F.explode(T.hash_features(F.col("content"))).alias("x"))
+    cells = feats.groupBy("uri", T.hash_bucket(F.col("x.f")).alias("bucket")).agg(F.sum("x.w").alias("w"))
     norm = cells.groupBy("uri").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"))
-    vec = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")), lambda i: F.round(F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm"), 6))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.round(F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm"), 4))
     return norm.select("uri", vec.alias("vec"))

@@ -38,9 +38,17 @@ def q_content_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(own).alias("distinct_lines"))
 
 
-@query()
+_MARKED = "CASE WHEN doc_id % 3 = 0 THEN '# Title ' || doc_id || ' ##' || chr(10) || '```' || chr(10) || '# code' || chr(10) || '```' || chr(10) ELSE '' END || replace(text, '. ', '.' || chr(10) || '## ')"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, {_MARKED} AS text FROM documents), l AS (SELECT doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS x, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) AS n FROM d),
+f AS (SELECT *, sum(CASE WHEN regexp_matches(x, '^[ 	]*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS fences FROM l), h AS (SELECT doc_id, n, lower(trim(regexp_replace(regexp_extract(trim(x, ' '), '^#{{1,6}}\s+(.*)$', 1), '#+\s*$', ''), ' ')) AS h FROM f WHERE fences % 2 = 0),
+o AS (SELECT doc_id, list(h ORDER BY n) AS hs FROM (SELECT doc_id, h, min(n) AS n FROM h WHERE h <> '' GROUP BY doc_id, h) GROUP BY doc_id) SELECT d.doc_id, CASE WHEN hs IS NULL THEN [] WHEN len(hs) <= 24 THEN hs ELSE list_concat(hs[1:12], hs[greatest(len(hs) - 11, 13):]) END AS headings FROM d LEFT JOIN o USING (doc_id)""")
 def q_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.headings(F.col("text")).alias("headings"))
+    """Headings outside fences: sentences are made to be headings, as the texts have none."""
+    d = table(spark, sf_dir, "documents")
+    head = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# Title "), F.col("doc_id").cast("string"), F.lit(" ##\n```\n# code\n```\n"))).otherwise("")
+    return d.select("doc_id", T.headings(F.concat(head, F.replace("text", F.lit(". "), F.lit(".\n## ")))).alias("headings"))
 
 
 @query()

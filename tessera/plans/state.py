@@ -32,7 +32,12 @@ def q_replay_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.replay_report(O.replay(_outbox(spark, sf_dir), "2024-02-01 00:00:00", 500, F.col("id") % 3 == 0))
 
 
-@query()
+_P, _O = "(s.p + x)", "(s.o + CASE WHEN s.p + x >= 200 THEN CAST(ceil((s.p + x) / 4.0) AS BIGINT) ELSE 0 END)"
+
+
+@query(f"""WITH {MSG_SQL}, f AS (SELECT session_id, list_reduce(list(CAST(ceil(length(text) / 4.0) AS BIGINT) ORDER BY turn, id), lambda s, x: {{'p': CASE WHEN {_P} >= 200 THEN 0 ELSE {_P} END, 'o': CASE WHEN {_O} > 300 THEN {_O} // 2 ELSE {_O} END, 'c': s.c + CASE WHEN {_P} >= 200 THEN 1 ELSE 0 END,
+ 'd': s.d + CASE WHEN {_P} < 200 AND {_P} > 0 AND {_P} // 50 > s.p // 50 THEN 1 ELSE 0 END, 'r': s.r + CASE WHEN {_O} > 300 THEN 1 ELSE 0 END}}, {{'p': 0::BIGINT, 'o': 0::BIGINT, 'c': 0, 'd': 0, 'r': 0}}) AS s FROM msgs GROUP BY session_id)
+SELECT session_id, CAST(s.p AS INTEGER) AS pending, CAST(s.o AS INTEGER) AS observed, CAST(s.c AS INTEGER) AS chunks, CAST(s.d AS INTEGER) AS deferred, CAST(s.r AS INTEGER) AS reflections, CAST(s.r AS INTEGER) AS generation FROM f""")
 def q_observer_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observer state of each session after its messages, folded in order."""
     return V.fold_batch(_msgs(spark, sf_dir))
@@ -80,7 +85,9 @@ def q_bounded_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.bounded_hint(seen, 150).select("scope", "entry_id", "used")
 
 
-@query()
+@query(f"""WITH {MSG_SQL}, t AS (SELECT session_id, list(id ORDER BY turn, id) AS ids, list(turn ORDER BY turn, id) AS turns, list(CAST(ceil(length(text) / 4.0) AS BIGINT) ORDER BY turn, id) AS toks FROM msgs GROUP BY session_id),
+f AS (SELECT *, list_reduce(toks, lambda s, x: {{'b': CASE WHEN s.u > 0 AND s.u + x > 150 THEN s.b + 1 ELSE s.b END, 'u': CASE WHEN s.u > 0 AND s.u + x > 150 THEN x ELSE s.u + x END, 'o': list_append(s.o, CASE WHEN s.u > 0 AND s.u + x > 150 THEN s.b + 1 ELSE s.b END)}}, {{'b': 0, 'u': 0::BIGINT, 'o': []::INTEGER[]}}) AS s FROM t)
+SELECT session_id, unnest(ids) AS id, unnest(turns) AS turn, unnest(toks) AS tokens, unnest(s.o) AS batch FROM f""")
 def q_batch_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of each session in batches of at most 150 tokens."""
     rows = _msgs(spark, sf_dir).select("session_id", "id", "turn", T.estimate_tokens(F.col("text")).alias("tokens"))
