@@ -9,7 +9,7 @@ from tessera.operators import ontology as H
 from tessera.operators import suite as U
 
 from .registry import query, table
-from .retrieval import BM25_SQL, DOCS_SQL, WORDS_SQL, _docs
+from .retrieval import DOCS_SQL, WORDS_SQL, _index
 
 _CASE_SQL = f"""{DOCS_SQL}, {WORDS_SQL}, lens AS (SELECT uri, sum(tf) AS doc_len, count(*) AS terms FROM post GROUP BY uri), corpus AS (SELECT count(*) AS n, avg(doc_len) AS avg_len FROM lens),
 cs AS (SELECT item_id AS case_id, text AS query, CASE WHEN item_id % 9 <> 0 THEN 'ctx://resources/src' || item_id % 3 || '/en/' || item_id || '.txt' END AS expected_uri, CASE WHEN item_id % 4 = 0 THEN 'ctx://resources/src1' END AS target_uri, CASE WHEN item_id % 2 = 0 THEN 'stress:typo' ELSE 'golden' END AS source FROM benchmark),
@@ -27,23 +27,17 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.operators import docs as D
-
-    return D.word_postings(_docs(spark, sf_dir))
-
-
 @query(f"WITH {_CASE_SQL} SELECT case_id, source, expected_uri, top_uri, rank, bucket, bucket = 'pass' AS passed FROM res")
 def q_case_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark cases searched in one job, with how each fared."""
     c = _cases(spark, sf_dir)
-    return U.case_results(c, U.batch_search(_postings(spark, sf_dir), c)).withColumn("rank", F.col("rank").cast("long"))
+    return U.case_results(c, U.batch_search(_index(spark, sf_dir, False), c)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"WITH {_CASE_SQL} SELECT count(*) AS cases, count(expected_uri) AS graded, round(count(*) FILTER (bucket = 'pass') / count(expected_uri), 6) AS top1, round(coalesce(sum(1 / log2(rank + 1)) FILTER (expected_uri IS NOT NULL), 0) / count(expected_uri), 6) AS ndcg10, round(count(rank) / count(expected_uri), 6) AS recall10, round(avg(CASE WHEN bucket = 'pass' THEN 1.0 ELSE 0.0 END) FILTER (starts_with(source, 'stress:')), 6)::DOUBLE AS stress_top1 FROM res")
 def q_benchmark_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality row of the suite: top-1, NDCG, recall, and the stress cases' top-1."""
-    return U.run_suite(_postings(spark, sf_dir), _cases(spark, sf_dir))
+    return U.run_suite(_index(spark, sf_dir, False), _cases(spark, sf_dir))
 
 
 @query("SELECT * FROM (VALUES ('filter', 'filter_ignored', true), ('relation', 'relation_missing', true), ('intent', 'intent_miss', true), ('archive', 'archive_context_miss', true), ('memory', 'memory_category_miss', true)) t(probe, bucket, passed)")
