@@ -32,85 +32,91 @@ def hash_of(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.shiftrightunsigned(h, 64 - BITS)
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS) -> dict[str | None, float]:
-    """Target of each source: its weight's share of all sizes, at most ``most`` times its own.
+def weighted(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """``sizes(source, size)`` with each source's ``weight``: by code point, null last, sources take the weights in turn.
 
-    Sources go by code point, null last, and take the weights in turn. What a
-    source can't take is shared among the others by weight, until none is above.
+    The place in order is counted in ranges: a row number in each, behind the
+    numbers of rows in the ranges before. The driver sees one number a range.
     """
-    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    out: dict[str | None, float] = {}
-    left, active = float(sum(sizes.values())), list(order)
-    while active:
-        total = sum(weight[s] for s in active)
-        above = [s for s in active if left * weight[s] / total > most * sizes[s]]
-        if not above:
-            out |= {s: left * weight[s] / total for s in active}
+    order = [F.col("source").isNull(), F.col("source").cast("binary")]
+    own = sizes.repartitionByRange(*order).withColumn("range", F.spark_partition_id())
+    own = stored(own.withColumn("n", F.row_number().over(Window.partitionBy("range").orderBy(*order))), "mix-ranges")
+    before, total = {}, 0
+    for r in own.groupBy("range").count().orderBy("range").collect():
+        before[r["range"]], total = total, total + r["count"]
+    first = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("range")] if before else F.lit(0)
+    return own.select("source", "size", F.get(F.array(*[F.lit(w) for w in weights]), ((first + F.col("n") - 1) % len(weights)).cast("int")).alias("weight"))
+
+
+def targets(sources: DataFrame, most: int = MOST_REPEATS) -> DataFrame:
+    """``sources(source, size, weight)`` with ``target``: the weight's share of all sizes, at most ``most`` times the size.
+
+    What a source can't take is shared among the others by weight, until none
+    is above. A round is one aggregate: the share a weight has once the sources
+    above it are held at their most. Shares only grow, so the rounds end.
+    """
+    cap = F.lit(float(most)) * F.col("size")
+    total = float(sources.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("t")).first()["t"])
+    share, held = 0.0, -1
+    while True:
+        over = F.lit(share) * F.col("weight") > cap
+        r = sources.agg(F.count_if(over).alias("n"), F.sum(F.when(over, cap).otherwise(0.0)).alias("taken"), F.sum(F.when(over, 0.0).otherwise(F.col("weight"))).alias("w")).first()
+        if r["n"] == held or not r["w"]:
             break
-        for s in above:
-            out[s] = float(most * sizes[s])
-        left -= sum(out[s] for s in above)
-        active = [s for s in active if s not in above]
-    return out
+        held, share = r["n"], (total - r["taken"]) / r["w"]
+    goal = F.lit(share) * F.col("weight")
+    return sources.withColumn("target", F.when(goal > cap, cap).otherwise(goal).cast("double"))
 
 
 def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_SOURCES else df
 
 
-def thresholds(slim: DataFrame, budgets: dict[str | None, float]) -> dict[str | None, int]:
-    """For each source the hash below which its documents add up to about its budget.
+def thresholds(slim: DataFrame, budgets: DataFrame, n: int) -> DataFrame:
+    """``(s, cut)``: the hash below which a source's documents add up to about its budget; sources without a border have none.
 
-    ``slim`` has ``source``, ``size`` and ``h``. The document at the border is
-    taken if that comes nearer to the budget.
+    ``slim`` has ``source``, ``size`` and ``h``; ``budgets`` has s and budget,
+    of ``n`` sources. The document at the border is taken if that comes nearer
+    to the budget.
     """
-    spark = slim.sparkSession
-    cut = {s: 1 << BITS for s in budgets}
-    state = [(s, 0, float(b)) for s, b in budgets.items()]
-    kind = slim.schema["source"].dataType.simpleString()
+    state, done = budgets.select("s", F.lit(0).cast("long").alias("prefix"), F.col("budget").cast("double").alias("budget")), None
     for shift in range(BITS, 0, -STEP):
-        if not state:
-            break
-        st = spark.createDataFrame(state, f"s {kind}, prefix long, budget double")
-        within = slim.join(_small(st, len(state)), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", shift) == F.col("prefix")))
+        within = slim.join(_small(state, n), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", shift) == F.col("prefix")))
         hist = within.groupBy("s", "budget", F.shiftright("h", shift - STEP).alias("bucket")).agg(F.sum("size").alias("sum"), F.min("h").alias("lo"), F.max("h").alias("hi"))
         run = F.sum("sum").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
         ends = (
             hist.withColumn("run", run).where(F.col("run") > F.col("budget"))
             .groupBy("s").agg(F.min_by(F.struct("bucket", "run", "sum", "lo", "hi", "budget"), "bucket").alias("e"))
-            .select("s", "e.*").collect()
+            .select("s", "e.*", (F.col("e.budget") - (F.col("e.run") - F.col("e.sum"))).alias("left"))
         )
-        state = []
-        for r in ends:
-            left = r["budget"] - (r["run"] - r["sum"])
-            if r["lo"] == r["hi"]:
-                cut[r["s"]] = r["hi"] + (1 if r["sum"] - left <= left else 0)
-            else:
-                state.append((r["s"], r["bucket"], left))
-    return cut
+        ends = stored(ends, "mix-ends")
+        border = F.col("lo") == F.col("hi")
+        found = ends.where(border).select("s", (F.col("hi") + F.when(F.col("sum") - F.col("left") <= F.col("left"), 1).otherwise(0)).alias("cut"))
+        done = found if done is None else done.unionByName(found)
+        state = ends.where(~border).select("s", F.col("bucket").alias("prefix"), F.col("left").alias("budget"))
+        if state.isEmpty():
+            break
+    return done
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame, int]:
     """(a row a document, a row a source, number of sources).
 
     A document's row: id, source, size, h. A source's: its size, target, whole
-    repeats and the threshold for one repeat more.
+    repeats and the threshold for one repeat more. Sources are a table like any
+    other; it is broadcast up to ``BROADCAST_SOURCES`` rows.
     """
     slim = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(text_col).alias("size"), hash_of(id_col, text_col).alias("h")), "mix-sizes")
-    sizes = {r["source"]: r["size"] for r in slim.groupBy("source").agg(F.sum("size").alias("size")).collect()}
-    goal = targets(sizes, weights)
-    whole = {s: min(MOST_REPEATS, int(goal[s] // sizes[s])) if sizes[s] else 0 for s in sizes}
-    budgets = {s: goal[s] - whole[s] * sizes[s] for s in sizes}
-    cut = thresholds(slim, budgets) if sizes else {}
-    for s, b in budgets.items():
-        if whole[s] >= MOST_REPEATS or b <= 0:
-            cut[s] = 0
-    kind = slim.schema["source"].dataType.simpleString()
-    per = slim.sparkSession.createDataFrame(
-        [(s, sizes[s], goal[s], whole[s], cut[s]) for s in sizes], f"__source {kind}, source_size long, target double, __whole long, __cut long"
-    )
-    return slim, per, len(sizes)
+    sources = stored(weighted(slim.groupBy("source").agg(F.sum("size").alias("size")), weights), "mix-sources")
+    n = sources.count()
+    whole = F.when(F.col("size") > 0, F.least(F.lit(MOST_REPEATS), F.floor(F.col("target") / F.col("size")))).otherwise(0).cast("long")
+    goal = stored(targets(sources).withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("size")), "mix-goals")
+    full = (F.col("whole") >= MOST_REPEATS) | (F.col("budget") <= 0)
+    cut = thresholds(slim, goal.where(~full).select(F.col("source").alias("s"), "budget"), n)
+    cuts = goal.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        F.col("source").alias("__source"), F.col("size").alias("source_size"), "target", F.col("whole").alias("__whole"), F.when(full, 0).otherwise(F.coalesce("cut", F.lit(1 << BITS))).cast("long").alias("__cut")
+    )
+    return slim, stored(cuts, "mix-cuts"), n
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
