@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tomllib
 from collections.abc import Iterator
 
@@ -242,7 +243,7 @@ def parse_text(name: str, raw: str) -> tuple[str, str | None, list[str]]:
                 top = sorted(keys, key=lambda k: (-keys[k], k))[:8]
                 lines = [f"jsonl.records={len(good)}"] + ([f"jsonl.keys={','.join(top)}"] if top else [])
                 return kind, next((t for _, v in good if (t := title(v))), None), lines + [x for i, v in good for x in line(flatten_json(v, f"$[{i}]"))]
-        if kind == "xml" and (pairs := list(flatten_xml(raw))):
+        if kind == "xml" and re.search("<[A-Za-z]", raw) and (pairs := list(flatten_xml(raw))):
             return kind, next((v for p, v in pairs if p.endswith(("/title", "/name", "/id")) and v.strip()), None), line(pairs)
     except (ValueError, TypeError):
         pass
