@@ -114,7 +114,9 @@ def resolve_candidates(candidates: DataFrame, threshold: float = 0.9) -> DataFra
 
     A candidate merges into the most similar earlier memory (full cosine, at
     least ``threshold``), else it becomes one and later ones may match it.
-    ``candidates``: category, id, vec.
+    ``candidates``: category, id, vec. What a candidate becomes depends on all
+    before it, so a category is one task: meant for the candidates of one
+    commit, not for a corpus.
     """
     import numpy as np
 
@@ -247,3 +249,24 @@ def commit(msgs: DataFrame, archives: DataFrame, extract: bool = True) -> tuple[
     rows = msgs.join(last, "session_id", "left").withColumn("archive", (F.coalesce("last", F.lit(0)) + 1).cast("int")).drop("last")
     found = merge_memories(extract_memories(msgs))
     return rows, found if extract else found.limit(0)
+
+
+def archive_context(msgs: DataFrame, query: str, archives: int, messages: int) -> DataFrame:
+    """The messages of each session's archives that speak to a query, with their ``place``, the most relevant last.
+
+    ``msgs``: session_id, archive, id, text, created_at. Relevance is the number
+    of the query's terms that a text contains. The best archives by their best
+    message come first, newer ones on ties; those without relevance count only
+    where a session has none with it, and so do messages.
+    """
+    from tessera.functions import text as T
+
+    terms = [w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split() if len(w.encode()) >= 2]
+    known = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    rows = msgs.withColumn("rel", T.message_relevance(F.col("text"), known))
+    session = Window.partitionBy("session_id")
+    best = rows.groupBy("session_id", "archive").agg(F.max("rel").alias("score")).withColumn("top", F.max("score").over(session)).where("top = 0 or score > 0")
+    near = best.withColumn("n", F.row_number().over(session.orderBy(F.desc("score"), F.desc("archive")))).where(F.col("n") <= archives).select("session_id", "archive")
+    found = rows.join(near, ["session_id", "archive"]).withColumn("top", F.max("rel").over(session)).where("top = 0 or rel > 0")
+    kept = found.withColumn("n", F.row_number().over(session.orderBy(F.desc("rel"), F.desc("archive"), F.desc("created_at"), "id"))).where(F.col("n") <= messages)
+    return kept.withColumn("place", F.row_number().over(session.orderBy("rel", "created_at", F.desc("n")))).select("session_id", "archive", "id", "rel", "place")

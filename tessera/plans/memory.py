@@ -80,6 +80,16 @@ def q_archive_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("session_id", "id", "rel")
 
 
+@query(f"""WITH {MSG_SQL}, m AS (SELECT session_id % 7 AS session_id, session_id AS archive, id, created_at, CAST(contains(lower(text), 'tion') AS INTEGER) + CAST(contains(lower(text), 'license') AS INTEGER) + CAST(contains(lower(text), 'the') AS INTEGER) AS rel FROM msgs),
+a AS (SELECT session_id, archive, max(rel) AS score FROM m GROUP BY ALL), b AS (SELECT *, max(score) OVER (PARTITION BY session_id) AS top FROM a), n AS (SELECT session_id, archive FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, archive DESC) AS n FROM b WHERE top = 0 OR score > 0) WHERE n <= 2),
+f AS (SELECT *, max(rel) OVER (PARTITION BY session_id) AS top FROM m JOIN n USING (session_id, archive)), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY rel DESC, archive DESC, created_at DESC, id) AS n FROM f WHERE top = 0 OR rel > 0) WHERE n <= 5)
+SELECT session_id, archive, id, rel, row_number() OVER (PARTITION BY session_id ORDER BY rel, created_at, n DESC) AS place FROM k""")
+def q_archive_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives ranked by their best message, then their messages, the most relevant last."""
+    m = _msgs(spark, sf_dir).select((F.col("session_id") % 7).alias("session_id"), F.col("session_id").alias("archive"), "id", "text", "created_at")
+    return M.archive_context(m, "tion license, THE", 2, 5).withColumn("place", F.col("place").cast("long"))
+
+
 @query(f"WITH {MSG_SQL} SELECT id, regexp_matches(lower(text), 'todo|task|next step|need to|should|해야|작업') AS task, contains(text, '?') AS question, regexp_matches(lower(text), 'error|fail|exception|panic|timeout|오류|실패') AS error FROM msgs")
 def q_task_error_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.lower("text")
