@@ -180,13 +180,16 @@ def test_commits_without_archives(spark):
 def test_streams_go_on_where_they_stopped(spark, tmp_path):
     from tessera.streaming import outbox
 
+    import uuid
+
+    name = f"t-{uuid.uuid4().hex}"  # the shared folder may outlive this run
     schema = "event_id long, user_id long, event_type string, ts timestamp_ntz"
     row = lambda *ids: spark.createDataFrame([(i, i % 2, f"t{i}") for i in ids], "event_id long, user_id long, event_type string").withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
     row(1, 2, 2).write.parquet(f"{tmp_path}/in/a")
-    once = outbox.fold_stream(spark, f"{tmp_path}/in", schema, name=f"t-{tmp_path.name}")
+    once = outbox.fold_stream(spark, f"{tmp_path}/in", schema, name=name)
     assert {r.user_id: (r.last_type, r.events) for r in once.collect()} == {0: ("t2", 1), 1: ("t1", 1)}
     row(2, 4, 5).write.parquet(f"{tmp_path}/in/b")
-    again = outbox.fold_stream(spark, f"{tmp_path}/in", schema, name=f"t-{tmp_path.name}")
+    again = outbox.fold_stream(spark, f"{tmp_path}/in", schema, name=name)
     assert {r.user_id: (r.last_type, r.events) for r in again.collect()} == {0: ("t4", 2), 1: ("t5", 2)}
     timed = outbox.fold_stream(spark, f"{tmp_path}/in", schema, time="ts")
     assert {r.user_id: r.last_event for r in timed.collect()} == {0: 4, 1: 5}
