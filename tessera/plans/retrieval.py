@@ -11,7 +11,7 @@ from tessera.functions import scoring as S
 from tessera.functions import text as T
 from tessera.operators import docs as D
 from tessera.operators import retrieval as R
-from tessera.sources.shared import shared_dir
+from tessera.sources.shared import drop_at_exit, shared_dir
 
 from .registry import query, table
 
@@ -49,6 +49,7 @@ def _index(spark: SparkSession, sf_dir: str, weighted: bool) -> R.Index:
     if key not in _INDEXES:
         docs = _docs(spark, sf_dir)
         folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        drop_at_exit(spark, folder)
         _INDEXES[key] = R.build_index(D.postings(docs) if weighted else D.word_postings(docs), folder)
     return _INDEXES[key]
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import shared_dir
+from tessera.sources.shared import drop_at_exit, shared_dir
 
 
 def latest(events: DataFrame, key: str, order: str) -> DataFrame:
@@ -27,6 +27,8 @@ def fold_stream(spark: SparkSession, folder: str, schema: str, key: str = "user_
     the first. Without a name the fold begins anew.
     """
     base = f"{shared_dir(spark)}/outbox-{name or uuid.uuid4().hex}"
+    if name is None:
+        drop_at_exit(spark, base)
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).option("recursiveFileLookup", "true").parquet(folder)
     source = source.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([order]) if time else source.dropDuplicates([order])
 
