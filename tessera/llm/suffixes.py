@@ -44,6 +44,8 @@ from .windows import WIDTH, stretches
 DENSE = 64
 #: Windows of a piece, into which the stretches of larger groups are cut.
 PIECE = 16
+#: An anchor with over a HOT-th of all stretches is dealt over SALTS tasks.
+HOT, SALTS = 64, 64
 #: Bytes of groups that are sorted together.
 BATCH = 1 << 20
 #: A text's key: 80 bits of hash.
@@ -294,6 +296,20 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*cols, *fields, parts], [*KEY, "o", *(f for f, _ in kinds), "bytes"])
 
 
+def _near(rows: DataFrame, shared: DataFrame, total: int) -> DataFrame:
+    """The ``rows`` whose anchor is in ``shared(ah_, count)``.
+
+    An anchor with over a ``HOT``-th of all ``total`` rows, of which there are
+    under ``HOT``, is dealt over ``SALTS`` tasks by its rows' texts.
+    """
+    hot = [r["ah_"] for r in shared.where(F.col("count") > total / HOT).select("ah_").collect()]
+    if not hot:
+        return rows.join(shared.select("ah_"), _on(["ah"]), "left_semi")
+    salt = F.when(F.col("ah").isin(hot), F.pmod(F.xxhash64("k1"), F.lit(SALTS)).cast("int")).otherwise(0)
+    wide = shared.select("ah_", F.explode(F.sequence(F.lit(0), F.when(F.col("ah_").isin(hot), SALTS - 1).otherwise(0))).alias("salt_"))
+    return rows.withColumn("salt", salt).join(wide, _on(["ah", "salt"]), "left_semi").drop("salt")
+
+
 def _marks(keyed: DataFrame, firsts: DataFrame | None) -> DataFrame:
     """``(k1, kk, s, n)``: n repeated windows from byte s on.
 
@@ -304,8 +320,8 @@ def _marks(keyed: DataFrame, firsts: DataFrame | None) -> DataFrame:
     keep_first = firsts is not None
     cut = lambda b: _merged(_cut(b))
     everything = stored(keyed.select(*KEY, "t").mapInArrow(cut, "k1 long, kk int, s long, n short, off short, ah long, rh long"), "lpf-stretches")
-    shared = stored(everything.groupBy("ah").count().where("count > 1").select(F.col("ah").alias("ah_")), "lpf-shared")
-    near = everything.select("k1", _narrow(), "ah", "rh").join(shared, _on(["ah"]), "left_semi")
+    shared = stored(everything.groupBy("ah").count().where("count > 1").select(F.col("ah").alias("ah_"), "count"), "lpf-shared")
+    near = _near(everything.select("k1", _narrow(), "ah", "rh"), shared, everything.count())
     near = near.groupBy("k1", "p", "ah", "rh").agg(F.count("*").alias("copies"))
     order = F.lit(0)
     if keep_first:

@@ -127,6 +127,12 @@ def test_first_occurrences_stay(spark, monkeypatch, dense):
     assert sorted(len(r.kept) for r in suffixes.remove_repeats(again).collect()) == [0, 0, 0, 0, 300, 300]
 
 
+def test_hot_anchors_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 3)  # an anchor with a third of all rows
+    texts = corpus(7, 20) + ["the same long text again and again " * 12] * 60
+    assert run(spark, texts) == plain(texts)
+
+
 def test_very_long_texts(spark):
     rng = random.Random(10)
     body = "".join(rng.choice("abcdefghij ") for _ in range(1_000_000))
