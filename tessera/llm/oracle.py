@@ -1,4 +1,5 @@
-"""DuckDB SQL for the operators that it can express: fingerprints and components, repeated bytes, the mix.
+"""DuckDB SQL for the operators that it can express: fingerprints and components, repeated bytes, the mix,
+fill-in-middle outputs.
 
 Where a hash decides, it is computed in SQL: XXH64 over the bytes of a text, in
 128-bit whole numbers.
@@ -88,6 +89,14 @@ x AS (SELECT c.source, min_by({{'h': h, 'left': budget - (run - c.size), 'size':
 cut AS (SELECT b.source, b.size, b.target, b.whole, CASE WHEN whole >= {MOST_REPEATS} OR budget <= 0 THEN 0::UBIGINT WHEN e IS NULL THEN {1 << 60}::UBIGINT ELSE e.h + CASE WHEN e.size - e.left <= e.left THEN 1::UBIGINT ELSE 0::UBIGINT END END AS cut FROM b LEFT JOIN x ON x.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, d.size, cut.size AS source_size, target, CAST(d.size * (whole + CASE WHEN d.h < cut THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM d JOIN cut ON cut.source IS NOT DISTINCT FROM d.source"""
 
+_DRAWS = ", ".join(f"CAST('0x' || substr(d, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))
+
+INFILL = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents), h AS (SELECT *, {_DRAWS} FROM t),
+f AS (SELECT *, CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM h),
+p AS (SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_simhash": SIMHASH, "op5_suffixes": REPEATS, "op6_mixing": MIX}
+    return {"op1_simhash": SIMHASH, "op5_suffixes": REPEATS, "op6_mixing": MIX, "op13_infill": INFILL}

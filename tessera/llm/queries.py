@@ -69,8 +69,14 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .infill import infill_digests
+
+    return infill_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_secrets, op3_toxicity, op4_audio, op5_suffixes, op6_mixing, op7_langid, op8_pii, op9_decontam, op10_tokens)
+    own = (op1_simhash, op2_secrets, op3_toxicity, op4_audio, op5_suffixes, op6_mixing, op7_langid, op8_pii, op9_decontam, op10_tokens, op13_infill)
     return {f.__name__: f for f in own}
 
 
