@@ -1,5 +1,5 @@
 """DuckDB SQL for the operators that it can express: fingerprints and components, repeated bytes, the mix,
-fill-in-middle outputs.
+near vectors, fill-in-middle outputs.
 
 Where a hash decides, it is computed in SQL: XXH64 over the bytes of a text, in
 128-bit whole numbers.
@@ -89,6 +89,11 @@ x AS (SELECT c.source, min_by({{'h': h, 'left': budget - (run - c.size), 'size':
 cut AS (SELECT b.source, b.size, b.target, b.whole, CASE WHEN whole >= {MOST_REPEATS} OR budget <= 0 THEN 0::UBIGINT WHEN e IS NULL THEN {1 << 60}::UBIGINT ELSE e.h + CASE WHEN e.size - e.left <= e.left THEN 1::UBIGINT ELSE 0::UBIGINT END END AS cut FROM b LEFT JOIN x ON x.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, d.size, cut.size AS source_size, target, CAST(d.size * (whole + CASE WHEN d.h < cut THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM d JOIN cut ON cut.source IS NOT DISTINCT FROM d.source"""
 
+VECTORS = """WITH RECURSIVE v AS (SELECT vec_id, row_number() OVER () AS row, label, CASE WHEN len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN CAST(embedding AS DOUBLE[]) END AS e FROM embeddings),
+p AS (SELECT a.row AS a, b.row AS b FROM v a JOIN v b ON a.label = b.label AND a.row <> b.row AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT row AS a, row AS b FROM v UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a), c AS (SELECT r.a AS row, min(v.vec_id) AS component_id FROM r JOIN v ON r.b = v.row GROUP BY r.a), n AS (SELECT a AS row, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN c USING (row) LEFT JOIN n USING (row)"""
+
 _DRAWS = ", ".join(f"CAST('0x' || substr(d, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))
 
 INFILL = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents), h AS (SELECT *, {_DRAWS} FROM t),
@@ -99,4 +104,4 @@ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>'
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_simhash": SIMHASH, "op5_suffixes": REPEATS, "op6_mixing": MIX, "op13_infill": INFILL}
+    return {"op1_simhash": SIMHASH, "op5_suffixes": REPEATS, "op6_mixing": MIX, "op11_vectors": VECTORS, "op13_infill": INFILL}

@@ -69,6 +69,12 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .infill import infill_digests
 
@@ -76,7 +82,7 @@ def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_secrets, op3_toxicity, op4_audio, op5_suffixes, op6_mixing, op7_langid, op8_pii, op9_decontam, op10_tokens, op13_infill)
+    own = (op1_simhash, op2_secrets, op3_toxicity, op4_audio, op5_suffixes, op6_mixing, op7_langid, op8_pii, op9_decontam, op10_tokens, op11_vectors, op13_infill)
     return {f.__name__: f for f in own}
 
 
