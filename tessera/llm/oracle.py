@@ -1,5 +1,5 @@
 """DuckDB SQL for the operators that it can express: fingerprints and components, repeated bytes, the mix,
-near vectors, fill-in-middle outputs.
+near vectors, repaired conversations, fill-in-middle outputs.
 
 Where a hash decides, it is computed in SQL: XXH64 over the bytes of a text, in
 128-bit whole numbers.
@@ -94,6 +94,50 @@ p AS (SELECT a.row AS a, b.row AS b FROM v a JOIN v b ON a.label = b.label AND a
 r AS (SELECT row AS a, row AS b FROM v UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a), c AS (SELECT r.a AS row, min(v.vec_id) AS component_id FROM r JOIN v ON r.b = v.row GROUP BY r.a), n AS (SELECT a AS row, count(*) AS n FROM p GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN c USING (row) LEFT JOIN n USING (row)"""
 
+def _crc32(text: str) -> str:
+    """The CRC-32 of a text's bytes, bit by bit."""
+    byte = f"CAST('0x' || substr(hex(encode({text})), CAST(i // 8 * 2 + 1 AS BIGINT), 2) AS BIGINT)"
+    start = f"CASE WHEN i % 8 = 0 THEN xor(c, {byte}) ELSE c END"
+    return f"xor(list_reduce(range(strlen({text}) * 8), lambda c, i: CASE WHEN ({start}) % 2 = 1 THEN xor(({start}) // 2, {0xEDB88320}) ELSE ({start}) // 2 END, {0xFFFFFFFF}::BIGINT), {0xFFFFFFFF}::BIGINT)"
+
+
+def _insert(v: str) -> str:
+    """The four states' best (cost, letters) with rows inserted; ``least`` of structs goes by cost, then by letters."""
+    add = lambda s: f"{{'c': ({s}).c + 2, 'a': ({s}).a || 'I'}}"
+    two = f"least({v}.s2, {add(f'{v}.s0')}, {add(f'{v}.s1')}, {add(f'{v}.s3')})"
+    return f"{{'s0': {v}.s0, 's1': {v}.s1, 's2': {two}, 's3': least({v}.s3, {add(two)})}}"
+
+
+def _edit() -> str:
+    """The states behind a row ``r`` from those before it, ``w``: deleted, kept or reroled."""
+    add = lambda s, n, letter: f"{{'c': w.{s}.c + {n}, 'a': w.{s}.a || '{letter}'}}"
+    far = "{'c': 1000000000, 'a': ''}"
+    keep = lambda s, i: f"CASE WHEN r.f < 2 AND r.i = '{i}' THEN {add(s, 'r.f', 'K')} ELSE {far} END"
+    role = lambda s: f"CASE WHEN r.f < 2 THEN {add(s, '2 + r.f', 'R')} ELSE {far} END"
+    gone = lambda s: add(s, 3, "D")
+    to2 = ", ".join([gone("s2"), *[keep(s, "u") for s in ("s0", "s1", "s3")], *[role(s) for s in ("s0", "s1", "s3")]])
+    return f"{{'s0': {gone('s0')}, 's1': least({gone('s1')}, {keep('s0', 's')}), 's2': least({to2}), 's3': least({gone('s3')}, {keep('s2', 'a')}, {role('s2')})}}"
+
+
+_FAR = "{'c': 1000000000, 'a': ''}"
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+DIALOGUES = f"""WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations), h AS (SELECT *, {_crc32("k")} % 20 AS act FROM d),
+f AS (SELECT conv_id, turn, CASE WHEN act = 4 THEN 'user' ELSE role END AS role, CASE act WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN act = 3 THEN [1, 2] ELSE [1] END) AS part FROM h WHERE act <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), encode(text), part) AS place, rtrim(text, {_SPACES}) AS shown FROM f),
+g AS (SELECT *, CASE WHEN shown = '' THEN 2 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 3 WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS f, left(role, 1) AS i FROM o),
+n AS (SELECT *, place > 1 AND lag(i) OVER (PARTITION BY conv_id ORDER BY place) || i NOT IN ('su', 'ua', 'au') AS illegal FROM g),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 2) AS blank, count(*) FILTER (f = 3) AS duplicate, count(*) FILTER (f = 1) AS truncated, count(*) FILTER (illegal) AS illegal, list({{'f': f, 'i': i, 'role': role, 'text': text}} ORDER BY place) AS rows FROM n GROUP BY conv_id),
+p AS (SELECT conv_id, rows, 0 AS k, {{'s0': {{'c': 0, 'a': ''}}, 's1': {_FAR}, 's2': {_FAR}, 's3': {_FAR}}} AS v FROM c
+UNION ALL SELECT conv_id, rows, k + 1, {_edit()} FROM (SELECT conv_id, rows, k, rows[k + 1] AS r, {_insert("v")} AS w FROM p WHERE k < len(rows))),
+e AS (SELECT conv_id, rows, least(v.s0, ({_insert("v")}).s3) AS best FROM p WHERE k = len(rows)),
+x AS (SELECT conv_id, rows, best, 0 AS k, 0 AS pos, 0 AS s, CAST([] AS VARCHAR[]) AS lines FROM e
+UNION ALL SELECT conv_id, rows, best, k + 1, pos + CASE WHEN l = 'I' THEN 0 ELSE 1 END, CASE WHEN l = 'D' THEN s WHEN l = 'K' THEN CASE r.i WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END WHEN s = 2 THEN 3 ELSE 2 END,
+CASE l WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, r.role || ':' || r.text) WHEN 'R' THEN list_append(lines, wanted || ':' || r.text) ELSE list_append(lines, wanted || ':') END FROM (SELECT *, substr(best.a, k + 1, 1) AS l, rows[pos + 1] AS r, CASE WHEN s = 2 THEN 'assistant' ELSE 'user' END AS wanted FROM x WHERE k < length(best.a))),
+z AS (SELECT conv_id, best, sha256(array_to_string(lines, chr(10))) AS sha FROM x WHERE k = length(best.a)), ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM ids LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM ids.conv_id"""
+
 _DRAWS = ", ".join(f"CAST('0x' || substr(d, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))
 
 INFILL = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents), h AS (SELECT *, {_DRAWS} FROM t),
@@ -104,4 +148,4 @@ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>'
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_simhash": SIMHASH, "op5_suffixes": REPEATS, "op6_mixing": MIX, "op11_vectors": VECTORS, "op13_infill": INFILL}
+    return {"op1_simhash": SIMHASH, "op5_suffixes": REPEATS, "op6_mixing": MIX, "op11_vectors": VECTORS, "op12_dialogues": DIALOGUES, "op13_infill": INFILL}

@@ -75,6 +75,12 @@ def op11_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op12_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dialogues import repair_digests
+
+    return repair_digests(table(spark, sf_dir, "conversations"))
+
+
 def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .infill import infill_digests
 
@@ -82,7 +88,7 @@ def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_secrets, op3_toxicity, op4_audio, op5_suffixes, op6_mixing, op7_langid, op8_pii, op9_decontam, op10_tokens, op11_vectors, op13_infill)
+    own = (op1_simhash, op2_secrets, op3_toxicity, op4_audio, op5_suffixes, op6_mixing, op7_langid, op8_pii, op9_decontam, op10_tokens, op11_vectors, op12_dialogues, op13_infill)
     return {f.__name__: f for f in own}
 
 
