@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import engine as E
 from tessera.operators import gates as G
 from tessera.operators import observe as B
 from tessera.operators import outbox as O
@@ -15,7 +14,6 @@ from tessera.streaming import observer as V
 from .analytics import _CAP, _MOST, OUTBOX_SQL, _outbox
 from .memory import MSG_SQL, _msgs
 from .registry import query, table
-from .retrieval import _docs
 
 _REPLAY = f"""WITH {OUTBOX_SQL}, r AS (SELECT *, attempt + 1 AS a FROM (SELECT * EXCLUDE (status), CASE WHEN status = 'processing' AND created_at <= TIMESTAMP '2024-02-01' - INTERVAL 300 SECOND THEN 'new' ELSE status END AS status FROM outbox) WHERE status = 'new' AND next_attempt_at <= TIMESTAMP '2024-02-01' ORDER BY id LIMIT 500),
 s AS (SELECT id, a AS attempt, next_attempt_at, CASE WHEN id % 3 = 0 AND a < {_MOST.replace('attempt', 'a')} THEN 'requeued' WHEN id % 3 = 0 THEN 'dead_letter' ELSE 'done' END AS outcome, CAST(least(2 ** least(greatest(a - 1, 0), 6), {_CAP}) AS BIGINT) AS wait FROM r)"""
@@ -43,18 +41,6 @@ def q_observer_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.fold_batch(_msgs(spark, sf_dir))
 
 
-@query()
-def q_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The find interface: planned, scored, filtered, merged and ranked."""
-    return E.find(_docs(spark, sf_dir), "license version token", limit=20, min_match_tokens=2).hits
-
-
-@query()
-def q_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The search interface with session hints: several typed queries."""
-    return E.search(_docs(spark, sf_dir), "recent license", session_hints=("version", "token"), limit=20).hits
-
-
 @query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, ceil(quantile_cont(value, 0.5)) AS p95, count(*) FILTER (event_type <> 'error') / count(*) AS top1 FROM events GROUP BY 1), r AS (SELECT day, p95, top1, lag(top1) OVER (ORDER BY day) AS prev FROM d),
 j AS (SELECT day, p95 <= 600 AND top1 >= 0.75 AND NOT coalesce((prev - top1) * 100 / prev > 3, false) AS passed FROM r ORDER BY day DESC LIMIT 5) SELECT day, passed, (SELECT count(*) FILTER (passed) FROM j) >= 2 AS gate_passed FROM j""")
 def q_benchmark_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
