@@ -113,6 +113,50 @@ def thread_id(*candidates: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in candidates])
 
 
+def _behind(value: Column, prefix: str) -> Column:
+    """What follows a prefix, trimmed; null without it or if nothing follows."""
+    return F.when(F.startswith(value, F.lit(prefix)), F.nullif(F.trim(F.substring(value, len(prefix) + 1, 1 << 30)), F.lit("")))
+
+
+def _plain(value: Column) -> Column:
+    """An identifier without the kind that it may begin with; null if it is blank."""
+    own = F.nullif(F.trim(value), F.lit(""))
+    return F.coalesce(_behind(own, "thread:"), _behind(own, "session:"), own)
+
+
+def canonical_thread_id(scope: Column, scope_key: Column, thread: Column, session: Column, fallback: Column) -> Column:
+    """The runtime's identifier of a thread, without its kind.
+
+    The scope key's own name comes first in the scopes thread and session, then
+    the thread, the session and the fallback; else it is the scope key.
+    """
+    named = F.when(scope == "thread", _behind(scope_key, "thread:")).when(scope == "session", _behind(scope_key, "session:"))
+    return F.coalesce(named, _plain(thread), _plain(session), _plain(fallback), F.trim(scope_key))
+
+
+def canonical_thread_ref(scope: Column, scope_key: Column, source_thread: Column, source_session: Column, thread: Column, session: Column, resource: Column) -> Column:
+    """The engine's reference: canonical id with its kind, and where it comes from.
+
+    Sources come before plain identifiers, and those before the scope key's
+    name. A session scope prefers the session, other ones the thread; without any the
+    scope's own default is taken.
+    """
+    key = F.trim(scope_key)
+    origin_thread, origin_session = thread_id(source_thread, thread), thread_id(source_session, session)
+    own_resource = F.coalesce(thread_id(resource), F.when(scope == "resource", _behind(key, "resource:")))
+    kinds = {"thread": F.coalesce(origin_thread, _behind(key, "thread:")), "session": F.coalesce(origin_session, _behind(key, "session:")), "resource": own_resource}
+    named = {k: F.concat(F.lit(f"{k}:"), v) for k, v in kinds.items()}
+    by_session, by_thread = (F.coalesce(*[named[k] for k in order]) for order in (("session", "thread", "resource"), ("thread", "session", "resource")))
+    canonical = F.coalesce(F.when(scope == "session", by_session).otherwise(by_thread), F.concat(scope, F.lit(":default")))
+    return F.struct(canonical.alias("canonical_thread_id"), scope.alias("scope"), key.alias("scope_key"), origin_thread.alias("origin_thread_id"), origin_session.alias("origin_session_id"), own_resource.alias("resource_id"))
+
+
+def scope_key(scope: Column, session: Column, thread: Column, resource: Column) -> Column:
+    """A scope's key from its own identifier; null if that is blank."""
+    own = F.when(scope == "session", thread_id(session)).when(scope == "thread", thread_id(thread)).when(scope == "resource", thread_id(resource))
+    return F.concat(scope, F.lit(":"), own)
+
+
 def parse_entries(content: str) -> list[tuple[str, list[tuple[str, str]]]]:
     """(text, [(session, message)]) of a memory document."""
     out: list[tuple[str, list[tuple[str, str]]]] = []

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,23 +44,10 @@ def bounded_hint(lines: DataFrame, budget: int) -> DataFrame:
 
 
 def pack(rows: DataFrame, key: str, order: list[str], tokens: str, most: int) -> DataFrame:
-    """Sequential batches: a row opens a new batch where the running sum would pass ``most``.
+    """Sequential batches: a row opens a new batch where the running sum would pass ``most``; a key may be of any size."""
+    from tessera.operators.packing import batches
 
-    The fill depends on all rows before, so each key's rows go through one fold.
-    """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        batch, used, out = 0, 0, []
-        for n in pdf[tokens]:
-            if used and used + n > most:
-                batch, used = batch + 1, 0
-            used += n
-            out.append(batch)
-        return pdf.assign(batch=pd.Series(out, index=pdf.index, dtype="int32"))
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "batch")
-    return rows.drop("batch").groupBy(key).applyInPandas(fold, f"{kinds}, batch int")
+    return batches(rows, key, order, tokens, most)
 
 
 def fact_faults(text: Column, ids: Column, confidence: Column) -> Column:

@@ -458,3 +458,12 @@ def process_step(record: dict, config: Config, initial: bool, read_only: bool, h
 
 def saves_output(read_only: bool, unsaved: int) -> bool:
     return not read_only and unsaved > 0
+
+
+def status(records: DataFrame) -> DataFrame:
+    """The nine measures of all records as one row; 0 where there are none, nulls as 0."""
+    some = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False))).alias(f"{c.removeprefix('is_')}_count")
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    flags = ("is_observing", "is_reflecting", "is_buffering_observation", "is_buffering_reflection")
+    sums = (("observation_token_count", "observation_tokens_active"), ("pending_message_tokens", "pending_message_tokens"), ("observer_trigger_count_total",) * 2, ("reflector_trigger_count_total",) * 2)
+    return records.agg(F.count("*").alias("records_total"), *[some(c) for c in flags], *[total(c, name) for c, name in sums])
