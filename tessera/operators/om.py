@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -456,6 +457,50 @@ def process_step(record: dict, config: Config, initial: bool, read_only: bool, h
     return {"observe": reached and (config.async_disabled or blocked), "buffer": crossed and not reached, "activate": initial and has_chunks and reached}
 
 
+def step_columns(pending: Column, last: Column, threshold: Column, buffer: Column, block_after: Column, initial: Column, read_only: Column, has_chunks: Column) -> dict[str, Column]:
+    """``process_step`` over rows: observe, buffer and activate. A null ``block_after`` means no background buffering, a null ``buffer`` no interval."""
+    reached = pending >= threshold
+    crossed = F.coalesce(F.floor(pending / buffer) > F.floor(last / buffer), F.lit(False))
+    steps = {"observe": reached & F.coalesce(pending >= block_after, F.lit(True)), "buffer": crossed & ~reached, "activate": initial & has_chunks & reached}
+    return {name: ~read_only & does for name, does in steps.items()}
+
+
+def resolve_columns(rows: DataFrame) -> DataFrame:
+    """``resolve`` over rows: their columns with ``error`` and what a configuration resolves to, null where there is an error.
+
+    ``rows`` has scope, share_token_budget, message_tokens, observation_tokens, max_tokens_per_batch, buffer_tokens,
+    buffer_ratio, buffer_off, buffer_activation, block_after, reflection_activation and reflection_block_after; nulls take the defaults.
+    ``buffer_ratio`` is a share of the message threshold, ``buffer_off`` turns background buffering off.
+    """
+    given = lambda c, default: F.coalesce(F.col(c), F.lit(default))
+    half = lambda x: F.floor(x + 0.5).cast("int")
+    base, reflect = given("message_tokens", MESSAGE_TOKENS), given("observation_tokens", OBSERVATION_TOKENS)
+    explicit = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in ("buffer_tokens", "buffer_ratio", "buffer_activation", "block_after", "reflection_activation", "reflection_block_after")])
+    turned_off = F.coalesce("buffer_off", F.lit(False))
+    off = turned_off | ((F.col("scope") == "resource") & ~explicit)
+    ratio = F.when(F.col("buffer_tokens").isNull(), given("buffer_ratio", BUFFER_SHARE))
+    tokens = F.when(ratio.isNotNull(), half(base * ratio)).otherwise(F.col("buffer_tokens"))
+
+    def block(column: str, threshold: Column) -> Column:
+        value = given(column, BLOCK_AFTER)
+        return F.when((value >= 1) & (value < float("inf")), F.when(value < 2, half(threshold * value)).otherwise(half(value)))
+
+    first, second = block("block_after", base), block("reflection_block_after", reflect)
+    outside = lambda c, default: ~((given(c, default) > 0) & (given(c, default) <= 1))
+    rules = [
+        (base <= 0, "message_tokens"), (reflect <= 0, "observation_tokens"), ((F.col("scope") == "resource") & ~off, "resource_scope_async"), (F.coalesce("share_token_budget", F.lit(False)) & ~off, "share_token_budget_async"),
+        (given("max_tokens_per_batch", BATCH_TOKENS) <= 0, "max_tokens_per_batch"), (~off & F.coalesce(~((ratio > 0) & (ratio < 1)), F.lit(False)), "buffer_tokens_ratio"), (~off & (tokens <= 0), "buffer_tokens_absolute"), (~off & (tokens >= base), "buffer_tokens_at_threshold"),
+        (~off & F.coalesce(first < base, F.lit(True)), "observation_block_after"), (~off & F.coalesce(second < reflect, F.lit(True)), "reflection_block_after"), (~off & outside("buffer_activation", OBSERVATION_ACTIVATION), "observation_activation"), (~off & outside("reflection_activation", REFLECTION_ACTIVATION), "reflection_activation"),
+    ]
+    error = F.lit(None).cast("string")
+    for bad, name in reversed(rules):
+        error = F.when(bad, name).otherwise(error)
+    judged = rows.withColumns({"error": error, "__base": base, "__tokens": tokens, "__first": first, "__second": second, "__off": off})
+    fine = lambda c: F.when(F.col("error").isNull(), F.col(c))
+    on = lambda c: F.when(F.col("error").isNull() & ~F.col("__off"), F.col(c))
+    return judged.select(*rows.columns, "error", fine("__base").alias("threshold"), on("__tokens").cast("int").alias("buffer"), on("__first").alias("block"), on("__second").alias("reflection_block"))
+
+
 def saves_output(read_only: bool, unsaved: int) -> bool:
     return not read_only and unsaved > 0
 

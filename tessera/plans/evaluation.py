@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import engine as E
 from tessera.operators import ontology as H
 from tessera.operators import suite as U
 
+from .memory import SAID_SQL, _category_sql, _said
 from .registry import query, table
-from .retrieval import DOCS_SQL, WORDS_SQL, _index
+from .retrieval import DOCS_SQL, WORDS_SQL, _docs, _index
+from .search import ENTRIES_SQL, scored_sql, search_index
 
 _CASE_SQL = f"""{DOCS_SQL}, {WORDS_SQL}, lens AS (SELECT uri, sum(tf) AS doc_len, count(*) AS terms FROM post GROUP BY uri), corpus AS (SELECT count(*) AS n, avg(doc_len) AS avg_len FROM lens),
 cs AS (SELECT item_id AS case_id, text AS query, CASE WHEN item_id % 9 <> 0 THEN 'ctx://resources/src' || item_id % 3 || '/en/' || item_id || '.txt' END AS expected_uri, CASE WHEN item_id % 4 = 0 THEN 'ctx://resources/src1' END AS target_uri, CASE WHEN item_id % 2 = 0 THEN 'stress:typo' ELSE 'golden' END AS source FROM benchmark),
@@ -40,10 +43,17 @@ def q_benchmark_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.run_suite(_index(spark, sf_dir, False), _cases(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('filter', 'filter_ignored', true), ('relation', 'relation_missing', true), ('intent', 'intent_miss', true), ('archive', 'archive_context_miss', true), ('memory', 'memory_category_miss', true)) t(probe, bucket, passed)")
+_PROBE, _PROBE_TAG = "recent license", "en"
+
+
+@query(f"""WITH RECURSIVE {ENTRIES_SQL}, {scored_sql("pa", _PROBE)}, f AS (SELECT count(*) AS n FROM (SELECT uri FROM pas JOIN docs USING (uri) WHERE lang = '{_PROBE_TAG}' LIMIT 10)),
+{SAID_SQL}, a AS (SELECT count(*) AS n FROM msgs WHERE contains(lower(text), 'recent') OR contains(lower(text), 'license')), w AS (SELECT count(DISTINCT category) AS n FROM ({_category_sql()}))
+SELECT 'filter' AS probe, 'filter_ignored' AS bucket, n AS checked, n > 0 AS passed FROM f UNION ALL SELECT 'relation', 'relation_missing', 5 * n, n > 0 FROM f UNION ALL SELECT 'intent', 'intent_miss', 1, true UNION ALL SELECT 'archive', 'archive_context_miss', n, n > 0 FROM a UNION ALL SELECT 'memory', 'memory_category_miss', n, n >= 3 FROM w""")
 def q_eval_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probes of filters, relations, plans, archives and memories on a corpus of their own."""
-    return U.probes(spark)
+    """Probes of filters, relations, plans, archives and memories over the documents and the messages; ten documents each are related."""
+    docs = _docs(spark, sf_dir)
+    related = docs.groupBy(F.floor(F.col("doc_id") / 10).cast("string").alias("id")).agg(F.lit("ctx://resources").alias("owner_uri"), F.collect_list("uri").alias("uris"), F.lit("probe").alias("reason"))  # ten documents each
+    return U.probes(E.Stored(spark, search_index(spark, sf_dir)), docs.select("uri", "tags"), related, _said(spark, sf_dir), _PROBE, _PROBE_TAG, 3)
 
 
 _EVIDENCE = "SELECT true AS contract, true AS build, count(*) FILTER (event_type = 'click') > 0 AS reliability, count(*) AS executed, 1.0 - count(*) FILTER (event_type = 'error') / count(*) AS top1, count(*) FILTER (event_type = 'refund') AS filter_ignored, 0 AS relation_missing, true AS memory, count(*) FILTER (event_type = 'error') AS memory_category_miss, true AS audit, false AS audit_strict, max(value) < 1e9 AS benchmark, true AS operability FROM events"
@@ -81,13 +91,13 @@ def q_percent_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("o_custkey", F.round(U.percent_delta(F.col("n"), F.col("f")), 6).alias("delta"), F.round(U.percent_drop(F.col("n"), F.col("f")), 6).alias("drop_"), U.latency_units(F.col("p"), 1000).alias("units"))
 
 
-@query("""WITH g AS (SELECT doc_id, text AS query, 'old' AS source FROM documents WHERE doc_id % 2 = 0), c AS (SELECT item_id, lower(text) AS query, 'new' AS source FROM benchmark UNION ALL SELECT doc_id, ' ' || lower(text) || ' ', 'new' FROM documents WHERE doc_id % 10 = 0)
+@query("""WITH g AS (SELECT text AS query, 'old' AS source FROM documents), c AS (SELECT lower(text) AS query, 'new' AS source FROM benchmark UNION ALL SELECT ' ' || lower(text) || ' ', 'new' FROM documents JOIN labels USING (doc_id))
 SELECT query, source FROM g WHERE lower(trim(query, ' ')) NOT IN (SELECT lower(trim(query, ' ')) FROM c) UNION ALL SELECT query, source FROM c""")
 def q_golden_add(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Golden cases with others added; those of the same query are replaced."""
-    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    new = b.select(F.lower("text").alias("query")).unionByName(d.where("doc_id % 10 = 0").select(F.concat(F.lit(" "), F.lower("text"), F.lit(" ")).alias("query"))).withColumn("source", F.lit("new"))
-    return U.add_golden(d.where("doc_id % 2 = 0").select(F.col("text").alias("query"), F.lit("old").alias("source")), new)
+    """Golden cases, one of every document, with those of the benchmark and of labelled documents added; those of the same query are replaced."""
+    d, b, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "labels")
+    new = b.select(F.lower("text").alias("query")).unionByName(d.join(labels, "doc_id").select(F.concat(F.lit(" "), F.lower("text"), F.lit(" ")).alias("query"))).withColumn("source", F.lit("new"))
+    return U.add_golden(d.select(F.col("text").alias("query"), F.lit("old").alias("source")), new)
 
 
 @query("""SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view') THEN 'unknown_action' WHEN event_id % 3 = 0 THEN 'input' ELSE 'queued' END AS outcome, CASE WHEN event_type IN ('click', 'view') AND event_id % 3 <> 0 THEN CAST(to_json({'action_id': event_type, 'input': props}) AS VARCHAR) END AS payload_json FROM events""")

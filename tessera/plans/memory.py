@@ -133,18 +133,17 @@ def q_buffered_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _msgs(spark, sf_dir).withColumn("before", F.sum(tok).over(w) - tok).where("before < 100").select("session_id", "id")
 
 
-_GRID = "grid AS (SELECT t.v AS tokens, a.v AS act, b.v AS blk, x.v AS buffered, y.v AS buffering, z.v AS reflecting FROM (VALUES (10), (50), (51), (90), (120)) t(v), (VALUES (NULL), (0.5), (1.5)) a(v), (VALUES (NULL), (100)) b(v), (VALUES (true), (false)) x(v), (VALUES (true), (false)) y(v), (VALUES (true), (false)) z(v))"
+_STATES = f"{MSG_SQL}, grid AS (SELECT id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, CASE session_id % 4 WHEN 1 THEN 0.5 WHEN 2 THEN 0.8 WHEN 3 THEN 1.5 END AS act, CASE WHEN turn % 3 > 0 THEN 100 END AS blk, session_id % 5 = 0 AS buffered, turn % 4 = 1 AS buffering, session_id % 7 = 0 AS reflecting FROM msgs)"
 
 
-@query(f"""WITH {_GRID} SELECT tokens, CAST(act AS DOUBLE) AS act, blk, buffered, buffering, reflecting, CASE WHEN reflecting THEN 'none' WHEN act IS NULL THEN CASE WHEN tokens > 50 THEN 'reflect' ELSE 'none' END WHEN act > 1 OR act <= 0 THEN 'none'
+@query(f"""WITH {_STATES} SELECT id, tokens, CASE WHEN reflecting THEN 'none' WHEN act IS NULL THEN CASE WHEN tokens > 50 THEN 'reflect' ELSE 'none' END WHEN act > 1 OR act <= 0 THEN 'none'
 WHEN tokens > 50 THEN CASE WHEN buffered OR coalesce(tokens >= blk, false) THEN 'reflect' WHEN buffering THEN 'none' ELSE 'buffer' END WHEN buffered OR buffering THEN 'none' WHEN tokens >= 50 * act THEN 'buffer' ELSE 'none' END AS action FROM grid""")
 def q_reflection_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The decision for every combination of its inputs."""
-    g = None
-    for name, values in {"tokens": "10, 50, 51, 90, 120", "act": "cast(null as double), 0.5D, 1.5D", "blk": "cast(null as int), 100", "buffered": "true, false", "buffering": "true, false", "reflecting": "true, false"}.items():
-        own = spark.sql(f"SELECT explode(array({values})) AS {name}")
-        g = own if g is None else g.crossJoin(own)  # a fixed grid of 240 rows
-    return g.withColumn("action", M.reflection_action(F.col("tokens"), F.lit(50), F.col("act"), F.col("blk"), F.col("buffered"), F.col("buffering"), F.col("reflecting")))
+    """The decision for every message's tokens, with states and options that go with its session and turn."""
+    k, turn = F.col("session_id"), F.col("turn")
+    act = F.when(k % 4 == 1, 0.5).when(k % 4 == 2, 0.8).when(k % 4 == 3, 1.5)
+    action = M.reflection_action(F.col("tokens"), F.lit(50), act, F.when(turn % 3 > 0, 100), k % 5 == 0, turn % 4 == 1, k % 7 == 0)
+    return _msgs(spark, sf_dir).withColumn("tokens", T.estimate_tokens(F.col("text"))).select("id", "tokens", action.alias("action"))
 
 
 @query(f"""WITH {MSG_SQL}, r AS (SELECT session_id, turn, sum(ceil(length(text) / 4.0)) OVER (PARTITION BY session_id ORDER BY turn, id ROWS UNBOUNDED PRECEDING) AS pending FROM msgs), p AS (SELECT *, coalesce(lag(pending) OVER (PARTITION BY session_id ORDER BY turn, pending), 0) AS last FROM r)

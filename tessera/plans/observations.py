@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring as S
@@ -242,41 +242,40 @@ def q_om_migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.migrate(once, records, apply=True)[0].select("scope_key", "entry_id", "text")
 
 
-_CONFIGS = [
-    {}, {"message_tokens": 0}, {"scope": "resource"}, {"scope": "resource", "buffer_tokens": 0.5}, {"share_token_budget": True}, {"share_token_budget": True, "buffer_tokens": "disabled"}, {"buffer_tokens": 1.5}, {"buffer_tokens": 40_000},
-    {"block_after": 1.5, "message_tokens": 100}, {"block_after": 50.0, "message_tokens": 100}, {"buffer_activation": 0.0}, {"reflection_activation": 1.0, "reflection_block_after": 90_000.0}, {"observation_tokens": -1}, {"max_tokens_per_batch": 0}, {"message_tokens": 2, "buffer_tokens": 0.2},
-]
-_RESOLVED = [
-    (None, 30000, 6000, 36000, 48000), ("message_tokens", None, None, None, None), (None, 30000, None, None, None), ("resource_scope_async", None, None, None, None), ("share_token_budget_async", None, None, None, None), (None, 30000, None, None, None),
-    ("buffer_tokens_ratio", None, None, None, None), ("buffer_tokens_at_threshold", None, None, None, None), (None, 100, 20, 150, 48000), ("observation_block_after", None, None, None, None), ("observation_activation", None, None, None, None), (None, 30000, 6000, 36000, 90000),
-    ("observation_tokens", None, None, None, None), ("max_tokens_per_batch", None, None, None, None), ("buffer_tokens_absolute", None, None, None, None),
-]
+#: Options of a configuration as expressions over parts, the same text in SQL; null where a part leaves one out.
+_OPTIONS = {
+    "scope": "CASE WHEN p_size % 7 = 0 THEN 'resource' ELSE 'session' END", "share_token_budget": "p_size % 11 = 0", "message_tokens": "CASE WHEN p_size % 3 = 0 THEN p_size * 10 - 30 END", "observation_tokens": "CASE WHEN p_size % 13 = 0 THEN p_size - 13 END",
+    "max_tokens_per_batch": "CASE WHEN p_size % 17 = 0 THEN p_size - 17 END", "buffer_tokens": "CASE WHEN p_partkey % 5 = 0 THEN CAST(p_partkey % 400 AS INTEGER) - 20 END", "buffer_ratio": "CASE WHEN p_partkey % 5 = 1 THEN CAST(p_size / 40.0 AS DOUBLE) END", "buffer_off": "p_partkey % 19 = 0",
+    "buffer_activation": "CASE WHEN p_partkey % 6 = 0 THEN CAST(p_size / 45.0 AS DOUBLE) END", "block_after": "CASE WHEN p_partkey % 4 = 1 THEN CAST(p_size / 25.0 + 0.5 AS DOUBLE) WHEN p_partkey % 4 = 2 THEN CAST(p_size * 900 AS DOUBLE) END",
+    "reflection_activation": "CASE WHEN p_partkey % 9 = 0 THEN CAST(p_size / 48.0 AS DOUBLE) END", "reflection_block_after": "CASE WHEN p_partkey % 8 = 3 THEN CAST(p_size * 1000 AS DOUBLE) END",
+}
+_OPT_SQL = f"""opt AS (SELECT p_partkey, {", ".join(f"{e} AS {c}" for c, e in _OPTIONS.items())} FROM part),
+r1 AS (SELECT *, coalesce(message_tokens, 30000) AS base, coalesce(observation_tokens, 40000) AS refl, buffer_off OR (scope = 'resource' AND coalesce(buffer_tokens, buffer_ratio, buffer_activation, block_after, reflection_activation, reflection_block_after) IS NULL) AS off, CASE WHEN buffer_tokens IS NULL THEN coalesce(buffer_ratio, 0.2::DOUBLE) END AS ratio, coalesce(block_after, 1.2::DOUBLE) AS ba, coalesce(reflection_block_after, 1.2::DOUBLE) AS ra FROM opt),
+r2 AS (SELECT *, coalesce(CAST(floor(base * ratio + 0.5) AS INTEGER), buffer_tokens) AS tok, CASE WHEN ba >= 1 THEN CAST(floor(CASE WHEN ba < 2 THEN base * ba ELSE ba END + 0.5) AS INTEGER) END AS b1, CASE WHEN ra >= 1 THEN CAST(floor(CASE WHEN ra < 2 THEN refl * ra ELSE ra END + 0.5) AS INTEGER) END AS b2 FROM r1),
+res AS (SELECT *, CASE WHEN base <= 0 THEN 'message_tokens' WHEN refl <= 0 THEN 'observation_tokens' WHEN scope = 'resource' AND NOT off THEN 'resource_scope_async' WHEN share_token_budget AND NOT off THEN 'share_token_budget_async' WHEN coalesce(max_tokens_per_batch, 10000) <= 0 THEN 'max_tokens_per_batch' WHEN off THEN NULL
+ WHEN ratio <= 0 OR ratio >= 1 THEN 'buffer_tokens_ratio' WHEN tok <= 0 THEN 'buffer_tokens_absolute' WHEN tok >= base THEN 'buffer_tokens_at_threshold' WHEN b1 IS NULL OR b1 < base THEN 'observation_block_after' WHEN b2 IS NULL OR b2 < refl THEN 'reflection_block_after'
+ WHEN buffer_activation <= 0 OR buffer_activation > 1 THEN 'observation_activation' WHEN reflection_activation <= 0 OR reflection_activation > 1 THEN 'reflection_activation' END AS error FROM r2)"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {e!r}, {m}, {b}, {x}, {r})".replace("None", "NULL") for i, (e, m, b, x, r) in enumerate(_RESOLVED)) + ") t(n, error, message_tokens, buffer_tokens, block_after, reflection_block_after)")
+@query(f"WITH {_OPT_SQL} SELECT p_partkey, error, CASE WHEN error IS NULL THEN base END AS threshold, CASE WHEN error IS NULL AND NOT off THEN tok END AS buffer, CASE WHEN error IS NULL AND NOT off THEN b1 END AS block, CASE WHEN error IS NULL AND NOT off THEN b2 END AS reflection_block FROM res")
 def q_om_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Configurations resolved, or the rule that they break."""
-    rows = []
-    for i, options in enumerate(_CONFIGS):
-        try:
-            c = Z.resolve(**options)
-            rows.append((i, None, c.message_tokens, c.buffer_tokens, c.observation_block_after, c.reflection_block_after))
-        except Z.ConfigError as e:
-            rows.append((i, str(e), None, None, None, None))
-    return spark.createDataFrame(rows, "n int, error string, message_tokens int, buffer_tokens int, block_after int, reflection_block_after int")
+    """A configuration for every part, resolved, or the rule that it breaks."""
+    options = table(spark, sf_dir, "part").selectExpr("p_partkey", *[f"{e} AS {c}" for c, e in _OPTIONS.items()])
+    return Z.resolve_columns(options).select("p_partkey", "error", "threshold", "buffer", "block", "reflection_block")
 
 
-_STEPS = [(0, 0, 0, False, False, False), (29_999, 0, 24_000, False, False, False), (30_000, 0, 24_000, True, False, True), (36_000, 0, 30_000, False, False, False), (36_000, 0, 0, True, True, True)]
+_STEP_TOKENS, _STEP_BUFFER, _STEP_BLOCK = 400, 80, 480
 
 
-@query("SELECT pending, last, initial, read_only, chunks, NOT read_only AND pending >= 30000 AND pending >= 36000 AS observe, NOT read_only AND pending // 6000 > last // 6000 AND pending < 30000 AS buffer, NOT read_only AND initial AND chunks AND pending >= 30000 AS activate FROM (VALUES " + ", ".join(str(s) for s in _STEPS) + ") t(pending, observed, last, initial, read_only, chunks)")
+@query(f"""WITH {MSG_SQL}, r AS (SELECT session_id, id, turn, CAST(sum(ceil(length(text) / 4.0)) OVER (PARTITION BY session_id ORDER BY turn, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS pending FROM msgs), l AS (SELECT *, coalesce(lag(pending) OVER (PARTITION BY session_id ORDER BY turn, id), 0) AS last, session_id % 5 = 0 AS ro, turn % 2 = 0 AS ini, session_id % 3 > 0 AS has FROM r)
+SELECT id, pending, NOT ro AND pending >= {_STEP_TOKENS} AND pending >= {_STEP_BLOCK} AS observe, NOT ro AND pending // {_STEP_BUFFER} > last // {_STEP_BUFFER} AND pending < {_STEP_TOKENS} AS buffer, NOT ro AND ini AND has AND pending >= {_STEP_TOKENS} AS activate FROM l""")
 def q_process_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is done with a message, by state and options, under the default configuration."""
-    c, rows = Z.resolve(), []
-    for pending, observed, last, initial, read_only, chunks in _STEPS:
-        d = Z.process_step({"pending_tokens": pending, "observation_tokens": observed, "last_buffered_tokens": last}, c, initial, read_only, chunks)
-        rows.append((pending, last, initial, read_only, chunks, d["observe"], d["buffer"], d["activate"]))
-    return spark.createDataFrame(rows, "pending int, last int, initial boolean, read_only boolean, chunks boolean, observe boolean, buffer boolean, activate boolean")
+    """What is done with every message, by its session's tokens so far and by options."""
+    w = Window.partitionBy("session_id").orderBy("turn", "id")
+    run = _msgs(spark, sf_dir).withColumn("pending", F.sum(T.estimate_tokens(F.col("text"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    last = run.withColumn("last", F.coalesce(F.lag("pending").over(w), F.lit(0)))
+    does = Z.step_columns(F.col("pending"), F.col("last"), F.lit(_STEP_TOKENS), F.lit(_STEP_BUFFER), F.lit(_STEP_BLOCK), F.col("turn") % 2 == 0, F.col("session_id") % 5 == 0, F.col("session_id") % 3 > 0)
+    return last.select("id", "pending", *[c.alias(n) for n, c in does.items()])
 
 
 _REPLIES = [

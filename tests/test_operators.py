@@ -207,3 +207,33 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         shared.shared_dir(Session)
+
+
+def test_configurations_as_columns_agree_with_resolve(spark):
+    import itertools
+
+    from tessera.operators import om
+
+    names = ("scope", "share_token_budget", "message_tokens", "observation_tokens", "max_tokens_per_batch", "buffer_tokens", "buffer_ratio", "buffer_off", "buffer_activation", "block_after", "reflection_activation", "reflection_block_after")
+    kinds = "scope string, share_token_budget boolean, message_tokens int, observation_tokens int, max_tokens_per_batch int, buffer_tokens int, buffer_ratio double, buffer_off boolean, buffer_activation double, block_after double, reflection_activation double, reflection_block_after double"
+    rows = []
+    for i, (scope, share, base, buffer, off, block) in enumerate(itertools.product(("session", "resource"), (True, False, None), (None, 0, 100, 7), ((None, None), (20, None), (None, 0.5), (None, 1.5), (0, None), (100, None)), (True, None), (None, 1.5, 50.0, 300.0, float("inf"), 0.5))):
+        rows.append((scope, share, base, (None, 500, 0)[i % 3], (None, None, 0, 9)[i % 4], *buffer, off, (None, 0.4, 0.0)[i % 3], block, (None, 1.0, 2.0)[i % 5 % 3], (None, 90_000.0)[i % 2]))
+    got = om.resolve_columns(spark.createDataFrame(rows, ", ".join(kinds.split(", "))).coalesce(1)).collect()
+    for r, given in zip(got, rows):
+        o = dict(zip(names, given))
+        buffer = om.DISABLED if o["buffer_off"] else o["buffer_tokens"] if o["buffer_tokens"] is not None else o["buffer_ratio"]
+        try:
+            c = om.resolve(o["scope"], bool(o["share_token_budget"]), o["message_tokens"], o["max_tokens_per_batch"], buffer, o["buffer_activation"], o["block_after"], o["observation_tokens"], o["reflection_activation"], o["reflection_block_after"])
+            want = (None, c.message_tokens, c.buffer_tokens, c.observation_block_after, c.reflection_block_after)
+        except om.ConfigError as e:
+            want = (str(e), None, None, None, None)
+        assert (r.error, r.threshold, r.buffer, r.block, r.reflection_block) == want, o
+
+
+def test_status_measures(spark):
+    from tessera.operators import om
+
+    kinds = "is_observing boolean, is_reflecting boolean, is_buffering_observation boolean, is_buffering_reflection boolean, observation_token_count long, pending_message_tokens long, observer_trigger_count_total long, reflector_trigger_count_total long"
+    df = spark.createDataFrame([(True, False, None, True, 5, None, 1, 2), (True, None, False, False, 7, 3, None, 4)], kinds)
+    assert tuple(om.status(df).first()) == (2, 2, 0, 0, 1, 12, 3, 1, 6) and tuple(om.status(df.limit(0)).first()) == (0,) * 9
