@@ -1,14 +1,18 @@
-"""Typed relations, thread references and the measures of records."""
+"""Typed relations, thread references, the measures of records, and reconciling by digests."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import chunks as C
 from tessera.operators import om as Z
+from tessera.operators import reconcile as X
 from tessera.operators import relations as L
+from tessera.sources.shared import drop_at_exit, shared_dir
 
 from .memory import MSG_SQL, _msgs
 from .registry import query, table
@@ -78,3 +82,35 @@ def q_om_status_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     flags = {"is_observing": F.col("last") % 2 == 0, "is_reflecting": F.col("observation_token_count") > 200, "is_buffering_observation": F.col("last") > 4, "is_buffering_reflection": F.col("session_id") % 3 == 0}
     return Z.status(r.withColumns(flags))
+
+
+_LEDGER = """l AS (SELECT 'ctx://resources/' || source || '/' || lang || '/' || doc_id || '.txt' AS uri, md5(text) AS h FROM documents), d AS (SELECT 'ctx://resources/' || source || '/' || lang || '/' || doc_id || CASE WHEN source = 'src3' AND lang = 'fr' THEN '.md' ELSE '.txt' END AS uri, md5(CASE WHEN source = 'src1' AND lang <> 'en' THEN text || 'x' ELSE text END) AS h FROM documents),
+f AS (SELECT coalesce(l.uri, d.uri) AS uri, d.h, CASE WHEN d.h IS NULL THEN 'missing' WHEN l.h IS NULL THEN 'untracked' WHEN l.h <> d.h THEN 'changed' END AS drift FROM l FULL JOIN d ON l.uri = d.uri)"""
+
+
+def _trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A ledger of the documents and a listing in which a source has changed and files of another one have other names, with their trees."""
+    d = table(spark, sf_dir, "documents")
+    uri = lambda end: F.concat(F.lit("ctx://resources/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), end).alias("uri")
+    renamed = F.when((F.col("source") == "src3") & (F.col("lang") == "fr"), ".md").otherwise(".txt")
+    text = F.when((F.col("source") == "src1") & (F.col("lang") != "en"), F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    ledger, listing = d.select(uri(F.lit(".txt")), F.md5("text").alias("hash")), d.select(uri(renamed), F.md5(text).alias("hash"))
+    out = [ledger, listing]
+    for df in (ledger, listing):
+        path = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+        drop_at_exit(spark, path)
+        out.append(X.build_tree(df, path))
+    return tuple(out)
+
+
+@query(f"WITH {_LEDGER} SELECT uri, drift FROM f WHERE drift IS NOT NULL")
+def q_tree_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift by digests of directories: only those that differ are opened."""
+    _, _, a, b = _trees(spark, sf_dir)
+    return X.drift(a, b).rows
+
+
+@query(f"WITH {_LEDGER} SELECT uri, h AS hash FROM f WHERE drift IS DISTINCT FROM 'missing'")
+def q_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger after reconciling: missing files pruned, changed and untracked ones taken in."""
+    return X.reconcile(*_trees(spark, sf_dir))[0]
