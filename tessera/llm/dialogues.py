@@ -46,6 +46,8 @@ CUT_SHORT, DOOMED = 1, 2
 LEGAL = np.zeros((4, 4), bool)
 LEGAL[[1, 2, 3], [2, 3, 2]] = True
 NEVER = float("inf")
+#: Roles of inserted and reroled rows, as scripts write them.
+WRITTEN = {"u": "user", "a": "assistant"}
 #: Leading characters that order rows of one turn; behind them the hash does.
 HEAD = 64
 START = (0, NEVER, NEVER, NEVER)
@@ -313,19 +315,27 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of the repaired conversation: kept and reroled ones by number, inserted ones before or behind them."""
+    names = ["conv", "place", "sub", "edit", "new_role", "id"]
     for batch in batches:
+        of, place, sub, edit, role, ids, none = ([] for _ in range(7))
         for i, (letters, roles, rows) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), _rows(batch))):
-            edit = np.frombuffer(letters.encode(), np.uint8)
-            new = edit == ord("I")
+            codes = np.frombuffer(letters.encode(), np.uint8)
+            new = codes == ord("I")
             row = np.cumsum(~new) - ~new  # rows read before each edit
             at = np.minimum(row, len(rows["code"]) - 1)
             first = np.searchsorted(row, np.arange(len(rows["code"]) + 1))
-            sub = np.arange(len(edit)) - first[at]  # rows inserted at the end stand behind the last one
-            some = np.flatnonzero(edit != ord("D"))
-            role = pa.array([{"u": "user", "a": "assistant"}.get(roles[k]) for k in some], pa.string())
-            conv = batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(some), np.int64)))
-            ids = pa.array(rows["rid"][at[some]], mask=new[some])
-            yield pa.RecordBatch.from_arrays([conv, pa.array(rows["place"][at[some]]), pa.array(sub[some]), pa.array([letters[k] for k in some], pa.string()), role, ids], ["conv", "place", "sub", "edit", "new_role", "id"])
+            some = np.flatnonzero(codes != ord("D"))
+            of.append(np.full(len(some), i))
+            place.append(rows["place"][at[some]])
+            sub.append((np.arange(len(codes)) - first[at])[some])  # rows inserted at the end stand behind the last one
+            ids.append(rows["rid"][at[some]])
+            none.append(new[some])
+            edit += [letters[k] for k in some]
+            role += [WRITTEN.get(roles[k]) for k in some]
+        if of:
+            whole = [np.concatenate(x).astype(np.int64) for x in (of, place, sub, ids)]
+            conv = batch.column(0).take(pa.array(whole[0]))
+            yield pa.RecordBatch.from_arrays([conv, pa.array(whole[1]), pa.array(whole[2]), pa.array(edit, pa.string()), pa.array(role, pa.string()), pa.array(whole[3], mask=np.concatenate(none))], names)
 
 
 class Repair:
