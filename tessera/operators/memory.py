@@ -109,37 +109,16 @@ def apply_reflection(entries: DataFrame, reflections: DataFrame) -> DataFrame:
     return old.unionByName(new)
 
 
-def resolve_candidates(candidates: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """Greedy memory resolution within a category, in input order.
+def resolve_candidates(candidates: DataFrame, threshold: float = 0.9, existing: DataFrame | None = None) -> DataFrame:
+    """Greedy memory resolution within a category, in input order, against existing memories and those that it makes.
 
     A candidate merges into the most similar earlier memory (full cosine, at
     least ``threshold``), else it becomes one and later ones may match it.
-    ``candidates``: category, id, vec. What a candidate becomes depends on all
-    before it, so a category is one task: meant for the candidates of one
-    commit, not for a corpus.
+    ``candidates``: category, id, vec; ``existing``: category, memory_id, vec. See ``resolution.resolve``.
     """
-    import numpy as np
+    from tessera.operators import resolution
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        made, names, out = [], [], []
-        for row in pdf.itertuples():
-            v = np.asarray(row.vec, dtype=float)
-            norm = np.linalg.norm(v)
-            v = v / norm if norm else v
-            if made:
-                sims = np.stack(made) @ v
-                best = int(sims.argmax())
-                if sims[best] >= threshold:
-                    out.append((row.category, row.id, names[best], "merge"))
-                    continue
-            made.append(v)
-            names.append(row.id)
-            out.append((row.category, row.id, row.id, "create"))
-        return pd.DataFrame(out, columns=["category", "id", "memory_id", "decision"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
-    return candidates.groupBy("category").applyInPandas(run, f"category {kinds['category']}, id {kinds['id']}, memory_id {kinds['id']}, decision string")
+    return resolution.resolve(candidates, threshold, existing)
 
 
 def parse_sections(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

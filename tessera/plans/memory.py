@@ -182,7 +182,14 @@ def q_continuation_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.fold_continuations(own).select("session_id", "task", "reply", "confidence")
 
 
-@query()
+_FOLD = """WITH RECURSIVE o AS (SELECT label AS category, list({'id': vec_id, 'v': list_transform(e, lambda x: x / n)} ORDER BY vec_id) AS rows FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings) GROUP BY label),
+x AS (SELECT category, rows, 0 AS k, CAST([] AS STRUCT(id BIGINT, v DOUBLE[])[]) AS made, CAST([] AS STRUCT(id BIGINT, m BIGINT)[]) AS said FROM o
+UNION ALL SELECT category, rows, k + 1, CASE WHEN best >= 0.9 THEN made ELSE list_append(made, r) END, list_append(said, {'id': r.id, 'm': CASE WHEN best >= 0.9 THEN made[list_position(sims, best)].id ELSE r.id END})
+FROM (SELECT *, list_max(sims) AS best FROM (SELECT *, rows[k + 1] AS r, list_transform(made, lambda m: list_dot_product(m.v, rows[k + 1].v)) AS sims FROM x WHERE k < len(rows)))),
+s AS (SELECT category, unnest(said) AS s FROM x WHERE k = len(rows)) SELECT category, s.id AS id, s.m AS memory_id, CASE WHEN s.m = s.id THEN 'create' ELSE 'merge' END AS decision FROM s"""
+
+
+@query(_FOLD)
 def q_memory_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy resolution of vectors within their category."""
     e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("category"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
