@@ -326,7 +326,7 @@ class Session:
         """The reflection, and the observations since it was buffered, become the record's text; a new generation begins."""
         r = self.record
         waits = (r.reflection or "").strip()
-        text, rest = (waits, r.active[r.covered :].strip()) if waits else (draft(r.active), "")
+        text, rest = (waits, r.active[r.covered :].strip()) if waits else (draft(r.active).strip(), "")
         r.active = "\n\n".join(x for x in (text, rest) if x)
         r.observed, r.generation = estimate(r.active), r.generation + 1
         r.reflecting = r.buffering_reflection = False

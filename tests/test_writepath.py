@@ -85,9 +85,9 @@ class Plain:
         else:
             if self.refl and self.refl[0].strip():
                 rest = self.active[len(self.refl[1]) :].strip()
-                self.active = self.refl[0] + ("\n\n" + rest if rest else "")
+                self.active = self.refl[0].strip() + ("\n\n" + rest if rest else "")
             else:
-                self.active = " ".join(self.active.split())[:1200]
+                self.active = " ".join(self.active.split())[:1200].strip()
             self.o, self.gen, self.reflecting, self.buffering, self.refl = (len(self.active) + 3) // 4, self.gen + 1, False, False, None
         self.note(kind, str(no), at, how, 0, None)
 
