@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("retrieval", "documents", "analytics", "state", "memory", "parsing", "streams", "indexing", "search", "versions", "threads", "observations", "evaluation", "writes")
+MODULES = ("retrieval", "documents", "analytics", "state", "memory", "parsing", "streams", "indexing", "search", "versions", "threads", "observations", "evaluation", "writes", "trees")
 _FOUND: dict[str, tuple[Query, str | None]] = {}
 
 
