@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A double at so many places, halves away from zero, decided on the scaled double: a value just under a half that scaling takes to it goes up, as in SQL engines that scale."""
+    return F.round(x * 10.0**places, 0) / 10.0**places
+
+
 def idf(n: Column, df: Column) -> Column:
     return F.greatest(F.log1p((n - df + 0.5) / (df + 0.5)), F.lit(0.0))
 

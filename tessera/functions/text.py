@@ -6,6 +6,8 @@ can be pushed down and folded by Catalyst.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ SYNONYMS = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def split_white(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
 
@@ -30,17 +37,18 @@ def trim_token(token: Column) -> Column:
 
 def split_identifier(token: Column) -> Column:
     """Lower-case parts of an identifier: at non-alphanumerics, lower-to-upper and acronym borders."""
-    spaced = F.regexp_replace(token, r"(?<=\p{Lu}\p{Lu})(?=\p{Lu}\p{Ll})|(?<=\p{Ll})(?=\p{Lu})", " ")
-    return F.filter(F.split(F.lower(spaced), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return alnum_words(F.regexp_replace(token, r"(?<=\p{Lu}\p{Lu})(?=\p{Lu}\p{Ll})|(?<=\p{Ll})(?=\p{Lu})", " "))
 
 
 def plain_tokens(text: Column) -> Column:
-    return F.flatten(F.transform(F.transform(split_white(text), trim_token), split_identifier))
+    """The parts of all tokens; white space and what is trimmed split a text like any other non-alphanumeric, so it is cut whole."""
+    return split_identifier(text)
 
 
 def symbolic_tokens(text: Column) -> Column:
-    kept = F.filter(F.transform(split_white(text), trim_token), lambda t: t.rlike(r"[\p{L}\p{N}]"))
-    return F.transform(kept, F.lower)
+    """Lower-case trimmed tokens that hold a letter or digit; ends are trimmed in the whole text, before it is split."""
+    trimmed = F.regexp_replace(text, rf"(?U)(?<!\S){TRIMMED}++|(?<!{TRIMMED}){TRIMMED}++(?!\S)", "")
+    return F.transform(F.filter(F.split(trimmed, r"(?U)\s+"), lambda t: t.rlike(r"[\p{L}\p{N}]")), F.lower)
 
 
 def tokenize(text: Column) -> Column:
@@ -91,21 +99,6 @@ def char_ngrams(token: Column, n: int) -> Column:
     return F.when(size <= n, F.array(token)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(token, i, F.lit(n))))
 
 
-def hash_features(text: Column) -> Column:
-    """Features of a text with their weights: canonical tokens at 1, their character trigrams at 0.35, pairs of neighbours at 0.8."""
-    own = tokenize(text)
-    item = lambda f, w: F.struct(f.alias("f"), F.lit(w).alias("w"))
-    one = F.transform(own, lambda t: item(canonical_token(t), 1.0))
-    tri = F.flatten(F.transform(own, lambda t: F.transform(char_ngrams(t, 3), lambda g: item(F.concat(F.lit("tri:"), g), 0.35))))
-    pairs = F.zip_with(F.slice(own, F.lit(1), F.greatest(F.size(own) - 1, F.lit(0))), F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0))), lambda a, b: item(F.concat(F.lit("bi:"), a, F.lit(" "), b), 0.8))
-    return F.concat(one, tri, pairs)
-
-
-def hash_bucket(feature: Column, buckets: int = 64) -> Column:
-    """A feature's bucket: the first two bytes of its MD5."""
-    return (F.conv(F.substring(F.md5(feature), 1, 4), 16, 10).cast("int") % buckets).cast("int")
-
-
 def compact_key(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scoring as S
 from tessera.functions import text as T
 from tessera.operators import docs as D
+from tessera.operators.features import hashed_weights
 
 from .registry import query, table
 from .retrieval import _PLAIN, _SYMBOLIC, _TOKENS, DOCS_SQL, _docs, _nation_uris
@@ -135,7 +136,7 @@ def q_project_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors folded to 16 numbers, odd folds at minus a half."""
     e = table(spark, sf_dir, "embeddings")
     at = lambda i: F.get("embedding", i).cast("double")
-    own = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.round(at(k) - 0.5 * at(k + 16) + at(k + 32) - 0.5 * at(k + 48), 5))
+    own = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: S.rounded(at(k) - 0.5 * at(k + 16) + at(k + 32) - 0.5 * at(k + 48), 5))
     return e.select("vec_id", own.alias("folded"))
 
 
@@ -154,8 +155,6 @@ f AS (SELECT uri, CASE {_STEM} ELSE c END AS f, 1.0 AS w FROM one UNION ALL SELE
 SELECT uri, list_transform(range(0, 64), lambda i: round(coalesce(m[i], 0) / norm, 4)) AS vec FROM n""")
 def q_feature_hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64-bucket feature-hash vectors of the documents, normalised: tokens, trigrams at 0.35, pairs at 0.8, all with their repeats."""
-    feats = _docs(spark, sf_dir).select("uri", F.explode(T.hash_features(F.col("content"))).alias("x"))
-    cells = feats.groupBy("uri", T.hash_bucket(F.col("x.f")).alias("bucket")).agg(F.sum("x.w").alias("w"))
-    norm = cells.groupBy("uri").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.round(F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm"), 4))
-    return norm.select("uri", vec.alias("vec"))
+    own = hashed_weights(_docs(spark, sf_dir), "uri", T.tokenize(F.col("content")))
+    square = F.aggregate("weights", F.lit(0).cast("long"), lambda acc, w: acc + w * w)
+    return own.withColumn("norm", F.sqrt(square / 10000.0)).select("uri", F.transform("weights", lambda w: S.rounded(w / 100.0 / F.col("norm"), 4)).alias("vec"))
