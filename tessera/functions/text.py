@@ -56,6 +56,16 @@ def tokenize(text: Column) -> Column:
     return F.concat(plain_tokens(text), symbolic_tokens(text))
 
 
+def counts(words: Column) -> Column:
+    """``(term, tf)`` of each distinct word: runs of the sorted array, so a text's words are counted in its own row."""
+
+    def runs(own: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(own)), lambda i: (i < F.size(own)) & ((i == 0) | (F.get(own, i) != F.get(own, i - 1))))
+        return let(at, lambda starts: F.transform(starts, lambda i, n: F.struct(F.get(own, i).alias("term"), (F.coalesce(F.get(starts, n + 1), F.size(own)) - i).alias("tf"))))
+
+    return let(F.sort_array(words), runs)
+
+
 def keywords(text: Column) -> Column:
     """Ordered distinct lower-case alphanumeric words."""
     return F.array_distinct(alnum_words(text))

@@ -27,7 +27,7 @@ def bm25(postings: DataFrame, terms: list[str]) -> DataFrame:
     index, taken before any filter. Postings are read once for the lengths
     (a map-side sum) and once, filtered to the terms, for the scores.
     """
-    own = list(dict.fromkeys(terms))
+    own, postings = list(dict.fromkeys(terms)), postings.select("uri", "term", "tf")
     lens = postings.groupBy("uri").agg(F.sum("tf").alias("doc_len"))
     corpus = lens.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len"))
     hits = postings.where(F.col("term").isin(own))
@@ -94,12 +94,19 @@ def bucket_of(term: Column, buckets: int) -> Column:
 
 
 def build_index(postings: DataFrame, path: str, buckets: int = 64) -> Index:
-    """Write ``postings(uri, term, tf)`` as an index: one shuffle by document for the lengths, one by bucket for the order."""
-    by = Window.partitionBy("uri")
-    rows = postings.withColumn("doc_len", F.sum("tf").over(by)).withColumn("terms", F.count("*").over(by).cast("int")).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    """Write ``postings(uri, term, tf)`` as an index: one shuffle by bucket for the order, and one by document for the lengths unless ``doc_len`` and ``terms`` are there.
+
+    The corpus' statistics are read from what is written: of the documents with ``t`` terms there are ``t`` rows each.
+    """
+    rows = postings
+    if not {"doc_len", "terms"} <= set(postings.columns):
+        by = Window.partitionBy("uri")
+        rows = postings.withColumn("doc_len", F.sum("tf").over(by)).withColumn("terms", F.count("*").over(by).cast("int"))
+    rows = rows.withColumn("bucket", bucket_of(F.col("term"), buckets))
     rows.repartition("bucket", F.pmod(F.xxhash64("uri"), F.lit(4))).sortWithinPartitions("bucket", "term", "uri").write.partitionBy("bucket").mode("overwrite").parquet(path)
-    whole = postings.groupBy("uri").agg(F.sum("tf").alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("avg")).first()
-    return Index(path, buckets, whole["docs"], float(whole["avg"] or 0.0))
+    own = postings.sparkSession.read.schema(rows.schema).parquet(path).groupBy("terms").agg((F.count("*") / F.col("terms")).cast("long").alias("docs"), (F.sum("doc_len") / F.col("terms")).cast("long").alias("words"))
+    whole = own.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.sum("words").alias("words")).first()
+    return Index(path, buckets, whole["docs"], whole["words"] / whole["docs"] if whole["docs"] else 0.0)
 
 
 def near_pairs(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:

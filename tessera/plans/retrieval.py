@@ -207,13 +207,13 @@ h AS (SELECT uri, round(CASE WHEN e >= 0.9 THEN 0.35 WHEN e >= 0.82 THEN 0.22 WH
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(uri, score, path) with all parts of the blend, for documents with a query term."""
     hits = _index(spark, sf_dir, False).bm25(spark, TERMS)
-    found = _docs(spark, sf_dir).select("uri", "abstract_text", "content", "updated_at").join(hits, "uri")
-    exact = F.when(F.lower("abstract_text") == "license", 0.99).otherwise(0.0)
+    license_ = F.contains(F.lower("content"), F.lit("license")).cast("double").alias("literal")
+    found = _docs(spark, sf_dir).select("uri", (F.lower("abstract_text") == "license").alias("same"), license_, "updated_at").join(hits, "uri")  # texts stay where they are read
     inter, size = F.col("matched"), F.col("terms")
-    sparse = S.lexical(F.col("bm25"), inter / (len(TERMS) + size - inter), F.contains(F.lower("content"), F.lit("license")).cast("double"))
+    sparse = S.lexical(F.col("bm25"), inter / (len(TERMS) + size - inter), F.col("literal"))
     recent = S.recency(F.col("updated_at").cast("timestamp"), F.lit("2026-01-01 00:00:00").cast("timestamp_ntz").cast("timestamp"))
     path = F.when(F.startswith("uri", F.lit("ctx://resources/src1/")), 0.8).otherwise(0.0)
-    return found.select("uri", F.round(S.blended(exact, F.lit(0.0), sparse, recent, path), 4).alias("score"), path.alias("path"))
+    return found.select("uri", F.round(S.blended(F.when(F.col("same"), 0.99).otherwise(0.0), F.lit(0.0), sparse, recent, path), 4).alias("score"), path.alias("path"))
 
 
 @query(f"{_HYBRID_SQL} SELECT uri, score FROM h ORDER BY score DESC, uri LIMIT 20")
