@@ -11,7 +11,7 @@ from tessera.operators import suite as U
 
 from .memory import SAID_SQL, _category_sql, _said
 from .registry import query, table
-from .retrieval import DOCS_SQL, WORDS_SQL, _docs, _index
+from .retrieval import DOCS_SQL, WORDS_SQL, _docs
 from .search import ENTRIES_SQL, scored_sql, search_index
 
 _CASE_SQL = f"""{DOCS_SQL}, {WORDS_SQL}, lens AS (SELECT uri, sum(tf) AS doc_len, count(*) AS terms FROM post GROUP BY uri), corpus AS (SELECT count(*) AS n, avg(doc_len) AS avg_len FROM lens),
@@ -32,15 +32,15 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CASE_SQL} SELECT case_id, source, expected_uri, top_uri, rank, bucket, bucket = 'pass' AS passed FROM res")
 def q_case_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All benchmark cases searched in one job, with how each fared."""
+    """All benchmark cases searched at once, with how each fared."""
     c = _cases(spark, sf_dir)
-    return U.case_results(c, U.batch_search(_index(spark, sf_dir, False), c)).withColumn("rank", F.col("rank").cast("long"))
+    return U.case_results(c, U.batch_search(_docs(spark, sf_dir), c)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"WITH {_CASE_SQL} SELECT count(*) AS cases, count(expected_uri) AS graded, round(count(*) FILTER (bucket = 'pass') / count(expected_uri), 6) AS top1, round(coalesce(sum(1 / log2(rank + 1)) FILTER (expected_uri IS NOT NULL), 0) / count(expected_uri), 6) AS ndcg10, round(count(rank) / count(expected_uri), 6) AS recall10, round(avg(CASE WHEN bucket = 'pass' THEN 1.0 ELSE 0.0 END) FILTER (starts_with(source, 'stress:')), 6)::DOUBLE AS stress_top1 FROM res")
 def q_benchmark_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality row of the suite: top-1, NDCG, recall, and the stress cases' top-1."""
-    return U.run_suite(_index(spark, sf_dir, False), _cases(spark, sf_dir))
+    return U.run_suite(_docs(spark, sf_dir), _cases(spark, sf_dir))
 
 
 _PROBE, _PROBE_TAG = "recent license", "en"
