@@ -244,17 +244,13 @@ def relations_of(hits: DataFrame, relations: DataFrame, most: int = 5) -> DataFr
     """Up to ``most`` related URIs of each hit, from relations owned by one of its ancestors.
 
     The containment test becomes equality joins: the hit's ancestors against the
-    owner and, at once, the hit against the relation's members. A relation of m
-    members gives a few times m rows.
+    owner and, at once, the hit against the relation's members (``relations.least``).
     """
     from tessera.operators.docs import ancestors
+    from tessera.operators.relations import least
 
     up = hits.select("uri", F.explode(ancestors(F.col("uri"))).alias("owner_uri"))
-    few = F.slice(F.array_sort(F.array_distinct("uris")), 1, most + 1)  # the least ones; one of them may be the hit itself
-    member = relations.select("owner_uri", "id", "reason", few.alias("few"), F.explode("uris").alias("uri"))
-    partner = up.join(member, ["owner_uri", "uri"]).select("uri", "reason", F.explode("few").alias("related")).where("related <> uri").distinct()
-    w = Window.partitionBy("uri").orderBy("related", "reason")
-    return partner.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    return least(up, relations, ["reason"], most)
 
 
 def longest_prefix(docs: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

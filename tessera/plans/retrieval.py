@@ -275,10 +275,10 @@ SELECT uri, related, reason, place FROM (SELECT *, row_number() OVER (PARTITION
 def q_relations_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to five related parts of each part: an order is a relation of its parts, owned by their directory."""
     li, o, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
-    uri = lambda c: F.concat(F.lit("ctx://resources/parts/"), F.col(c).cast("string"))
-    members = li.groupBy("l_orderkey").agg(F.collect_set(uri("l_partkey")).alias("uris"))  # an order has a few lines
-    relations = members.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.lit("ctx://resources/parts").alias("owner_uri"), F.col("l_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("reason"), "uris")
-    return R.relations_of(p.select(uri("p_partkey").alias("uri")), relations, 5).select("uri", "related", "reason", F.col("place").cast("long").alias("place"))
+    uri = lambda c: F.concat(F.lit("ctx://resources/parts/"), c.cast("string"))
+    members = li.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("keys"))  # an order has a few lines
+    relations = members.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.lit("ctx://resources/parts").alias("owner_uri"), F.col("l_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("reason"), F.transform("keys", uri).alias("uris"))
+    return R.relations_of(p.select(uri(F.col("p_partkey")).alias("uri")), relations, 5).select("uri", "related", "reason", F.col("place").cast("long").alias("place"))
 
 
 @query(f"""WITH {DOCS_SQL}, r(prefix, kind) AS (VALUES ('ctx://resources', 'resource'), ('ctx://resources/src1', 'source_one'), ('ctx://resources/src1/en', 'english'), ('ctx://resources/src2', 'source_two'))

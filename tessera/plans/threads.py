@@ -29,8 +29,9 @@ def q_typed_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, o, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
     root = "ctx://resources/parts"
     uri = F.concat(F.lit(f"{root}/"), "p_brand", F.lit("/"), F.col("p_partkey").cast("string"))
-    members = li.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.collect_set(uri).alias("uris"))  # an order has a few lines
-    relations = members.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.lit(root).alias("owner_uri"), F.col("l_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("reason"), "uris")
+    members = li.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.collect_set(F.struct("p_brand", "p_partkey")).alias("own"))  # an order has a few lines
+    uris = F.transform("own", lambda x: F.concat(F.lit(f"{root}/"), x["p_brand"], F.lit("/"), x["p_partkey"].cast("string")))
+    relations = members.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.lit(root).alias("owner_uri"), F.col("l_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("reason"), uris.alias("uris"))
     brands = p.where("p_brand < 'Brand#3'").select(F.concat(F.lit(f"{root}/"), "p_brand").alias("prefix"), F.concat(F.lit("brand "), "p_brand").alias("object_type")).distinct()
     rules = brands.unionByName(p.where("p_size > 40").select(uri.alias("prefix"), F.lit("large part").alias("object_type"))).unionByName(p.groupBy().agg(F.lit(root).alias("prefix"), F.lit("part").alias("object_type")))
     return L.edges(p.select(uri.alias("uri")), relations, 5, rules, o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").cast("string").alias("id")))
