@@ -9,8 +9,12 @@ K1, B = 1.2, 0.75
 
 
 def rounded(x: Column, places: int) -> Column:
-    """A double at so many places, halves away from zero, decided on the scaled double: a value just under a half that scaling takes to it goes up, as in SQL engines that scale."""
-    return F.round(x * 10.0**places, 0) / 10.0**places
+    """A double at so many places, halves away from zero, decided on the scaled double: a value just under a half that scaling takes to it goes up, as in SQL engines that scale.
+
+    A negative value that goes to zero is minus zero, as there; Spark's own rounding loses the sign.
+    """
+    whole = F.round(x * 10.0**places, 0)
+    return F.when(whole == 0, x * 0.0).otherwise(whole / 10.0**places)
 
 
 def idf(n: Column, df: Column) -> Column:
